@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from storyflow.llm.audio import op2_media
 from storyflow.llm.bpe import op7_bpe
+from storyflow.llm.chat import op8_chat
+from storyflow.llm.decontaminate import op4_decontaminate
 from storyflow.llm.langid import op3_langid
+from storyflow.llm.simhash import op1_simhash
+from storyflow.llm.urlfilter import op9_urls
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_media": op2_media,
     "op3_langid": op3_langid,
+    "op4_decontaminate": op4_decontaminate,
     "op7_bpe": op7_bpe,
+    "op8_chat": op8_chat,
+    "op9_urls": op9_urls,
 }
 
 ORACLES: dict[str, str] = {}
