@@ -7,17 +7,22 @@ from storyflow.llm.bpe import op7_bpe
 from storyflow.llm.chat import op8_chat
 from storyflow.llm.decontaminate import op4_decontaminate
 from storyflow.llm.langid import op3_langid
+from storyflow.llm.secretscan import op10_secrets
 from storyflow.llm.simhash import op1_simhash
 from storyflow.llm.urlfilter import op9_urls
+from storyflow.llm.warc import SQL as WARC_SQL
+from storyflow.llm.warc import op6_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_media": op2_media,
     "op3_langid": op3_langid,
     "op4_decontaminate": op4_decontaminate,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
     "op9_urls": op9_urls,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_warc": WARC_SQL}
