@@ -7,6 +7,7 @@ from storyflow.llm.bpe import op7_bpe
 from storyflow.llm.chat import op8_chat
 from storyflow.llm.decontaminate import op4_decontaminate
 from storyflow.llm.langid import op3_langid
+from storyflow.llm.lmscore import op5_lm
 from storyflow.llm.secretscan import op10_secrets
 from storyflow.llm.simhash import op1_simhash
 from storyflow.llm.urlfilter import op9_urls
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_langid": op3_langid,
     "op4_decontaminate": op4_decontaminate,
+    "op5_lm": op5_lm,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
