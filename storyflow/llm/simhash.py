@@ -225,14 +225,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (bigint), component_id."""
-    own, _ = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints()(F.col(text)).alias("fp")), "fingerprints")
+    """One row per row of ``docs``: doc_id, key, fp, root, component_id.
+
+    ``key`` is the text's SHA-256 (null for a null text), ``fp`` its fingerprint
+    as a bigint, ``root`` the component's smallest fingerprint.
+    """
+    own, _ = cut(docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.col(text), 256).alias("key"), fingerprints()(F.col(text)).alias("fp")), "fingerprints")
     distinct, _ = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct))
     group = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = group.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = group.join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = group.join(ids, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: smallest id (nulls last), then key."""
+    found = near_duplicates(docs, doc_id, text)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.key").alias("_key"))
+    keyed = docs.withColumn("_own", F.sha2(F.col(text), 256))
+    kept = keyed.join(best, keyed[doc_id].eqNullSafe(best["_id"]) & keyed["_own"].eqNullSafe(best["_key"]), "left_semi")
+    return kept.dropDuplicates([doc_id, "_own"]).select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
