@@ -1,4 +1,6 @@
-"""Registered queries and the SQL that each must equal."""
+"""All registered queries."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from storyflow.plans import books, chapters, markup, metadata, streams, values  # noqa: F401
+from storyflow.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
