@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyflow.llm.names import unused
 from storyflow.shared import table
 
 SIZE = 10
@@ -104,8 +105,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item."""
-    hit = contamination(docs, items, doc_id, text, item_id, item_text).where("n_hit > 0").select(F.col("key").alias("_hit_key")).distinct()
-    return docs.join(hit, F.sha2(docs[text], 256) == hit["_hit_key"], "left_anti")
+    key = unused(docs, "key")
+    hit = contamination(docs, items, doc_id, text, item_id, item_text).where("n_hit > 0").select(F.col("key").alias(key)).distinct()
+    return docs.join(hit, F.sha2(F.col(text), 256) == F.col(key), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

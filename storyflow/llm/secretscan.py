@@ -22,6 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyflow.llm.names import unused
 from storyflow.shared import fresh_path, table
 
 
@@ -119,9 +120,10 @@ def mask(text: Column, spans: Column, by: str = MASK) -> Column:
 
 def redact(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame:
     """``docs`` with the secrets in its texts masked."""
-    found = scan(docs, ledger, text).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, blob_of(docs[text]) == found["_blob"], "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(mask(F.col(text), F.col("_spans")))).select(docs.columns)
+    blob, spans = unused(docs, "blob"), unused(docs, "spans")
+    found = scan(docs, ledger, text).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.join(found, blob_of(F.col(text)) == F.col(blob), "left")
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(mask(F.col(text), F.col(spans)))).select(docs.columns)
 
 
 def _joined(spans: Column) -> Column:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyflow.llm.arrowtext import text_column
+from storyflow.llm.names import unused
 from storyflow.shared import cut, drop, table
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -242,10 +243,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: smallest id (nulls last), then key."""
     found = near_duplicates(docs, doc_id, text)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.key").alias("_key"))
-    keyed = docs.withColumn("_own", F.sha2(F.col(text), 256))
-    kept = keyed.join(best, keyed[doc_id].eqNullSafe(best["_id"]) & keyed["_own"].eqNullSafe(best["_key"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "_own"]).select(docs.columns)
+    own, id_, key = (unused(docs, n) for n in ("own", "first_id", "first_key"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b")
+    best = found.groupBy("root").agg(least).select(F.col("b.doc_id").alias(id_), F.col("b.key").alias(key))
+    keyed = docs.withColumn(own, F.sha2(F.col(text), 256))
+    kept = keyed.join(best, F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(own).eqNullSafe(F.col(key)), "left_semi")
+    return kept.dropDuplicates([doc_id, own]).select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
