@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects or numpy arrays at once.
 #: One text longer than this is still handled whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:

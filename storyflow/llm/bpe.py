@@ -28,7 +28,7 @@ from storyflow.shared import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers; it starts afresh beyond that.
-MEMO = 500_000
+MEMO = 300_000
 #: Longer pre-tokens are not remembered.
 MEMO_CHARS = 64
 
