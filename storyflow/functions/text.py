@@ -244,8 +244,10 @@ def decode_email(code: Column) -> Column:
 
 
 def decode_bytes(data: Column, fallback: str = "windows-1252") -> Column:
-    """UTF-8 where it is valid, else another encoding."""
-    return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.decode(data, fallback))
+    """UTF-8 where it is valid, else another encoding; only those rows reach Python."""
+    valid = F.is_valid_utf8(data.cast("string"))
+    other = arrow_text(lambda b: b.decode(fallback, "replace"))
+    return F.when(valid, data.cast("string")).otherwise(other(F.when(~valid, data)))
 
 
 def word_count(text: Column) -> Column:

@@ -71,7 +71,7 @@ def cleaned_link(url: Column) -> Column:
     """Links of mails and lists: ``/../`` folded, tracking parameters and entities gone."""
     url = F.replace(url, F.lit("&amp;"), F.lit("&"))
     url = F.regexp_replace(url, r"/[^/]+/\.\./", "/")
-    return F.regexp_replace(F.regexp_replace(url, r"([?&])utm_[a-z]+=[^&#]*", "$1"), r"[?&]+(?=$|#)", "")
+    return F.regexp_replace(F.regexp_replace(url, r"([?&])utm_[a-z]+=[^&#]*(?:&|(?=#|$))", "$1"), r"[?&]+(?=$|#)", "")
 
 
 def from_text(text: Column) -> Column:

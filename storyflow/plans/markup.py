@@ -42,12 +42,13 @@ def url_fragment_param_variants(spark, sf):
 
 
 @query("""
-  select doc_id, unnest(range(1, len(found) + 1)) as place, regexp_replace(unnest(found), '[.,;:!?]+$', '') as url
-  from (select doc_id, regexp_extract_all(text, 'https?://[^\\s"''<>()\\[\\]]+') as found from documents)
+  select page_id, unnest(range(1, len(found) + 1)) as place, regexp_replace(unnest(found), '[.,;:!?]+$', '') as url
+  from (select page_id, regexp_extract_all('see (' || url || '), or <' || url || '>; also ' || url || '!', 'https?://[^\\s"''<>()\\[\\]]+') as found from pages)
 """)
 def url_extract_text(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", F.posexplode(urls.from_text(F.col("text"))).alias("place", "url"))
-    return found.select("doc_id", (F.col("place") + 1).cast("bigint").alias("place"), "url")
+    said = F.concat(F.lit("see ("), "url", F.lit("), or <"), "url", F.lit(">; also "), "url", F.lit("!"))
+    found = table(spark, sf, "pages").select("page_id", F.posexplode(urls.from_text(said)).alias("place", "url"))
+    return found.select("page_id", (F.col("place") + 1).cast("bigint").alias("place"), "url")
 
 
 _LINKS = """select page_id, unnest(range(1, len(found) + 1)) as place, unnest(found) as link
@@ -65,14 +66,13 @@ def url_links_exploded(spark, sf):
 
 
 @query(f"""
-  select story, link, page_id from (
-    select regexp_extract(link, '^(https?://[^/?#]+)', 1) as story, link, page_id,
-      row_number() over (partition by regexp_extract(link, '^(https?://[^/?#]+)', 1) order by length(link) desc, page_id, place) as n
-    from ({_LINKS}) where link like 'http%') where n = 1
+  select story, link, page_id from (select *, row_number() over (partition by story order by length(link) desc, page_id, place) as n
+    from (select *, lower(regexp_replace(link, '[.,;:!?]', '', 'g')) as story from ({_LINKS}))) where n = 1
 """)
 def url_longest_per_story(spark, sf):
-    found = _links(spark, sf).where(F.col("link").startswith("http")).withColumn("story", F.regexp_extract("link", "^(https?://[^/?#]+)", 1))
-    return keys.first_by(found, ["story"], -F.length("link"), F.col("page_id"), F.col("place")).select("story", "link", "page_id")
+    found = _links(spark, sf).withColumn("story", F.lower(F.regexp_replace("link", "[.,;:!?]", "")))
+    found = found.withColumn("ord", F.struct("page_id", "place"))
+    return keys.longest_first(found, ["story"], "link", "ord").select("story", "link", "page_id")
 
 
 _SITES = [("example.com", "/en/", "english", 0), ("example.com", None, "other", 1), ("www.example.net", None, "net", 2)]

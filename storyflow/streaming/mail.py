@@ -44,4 +44,4 @@ def urls_of(mails: DataFrame) -> DataFrame:
 
 def mailbox(spark: SparkSession, folder: str) -> DataFrame:
     """New ``.eml`` files of a folder; the checkpoint remembers which were seen."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.eml").load(folder)
