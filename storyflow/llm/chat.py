@@ -8,7 +8,7 @@ message, so neither a long conversation nor its formatted text is ever held
 whole; a conversation's output is its segments in order.
 
 In roles and texts a backslash, ``<`` and ``[`` are written ``\\e``, ``\\l`` and
-``\\b``; no control string of common templates survives that, and reading back
+``\\b``, a line break in a role ``\\n``; no control string of common templates survives that, and reading back
 is exact. The loss mask is a range of code points of each segment.
 
 Defined cases: a null text or role is empty; rows of one conversation with the
@@ -32,7 +32,7 @@ from storyflow.shared import table
 TURN, END = "<|turn|>", "<|end|>\n"
 #: Rows and bytes that a task gathers before it hands them on.
 ROWS, BYTES = 2000, 4 << 20
-_UNESCAPED = {"\\e": "\\", "\\l": "<", "\\b": "["}
+_UNESCAPED = {"\\e": "\\", "\\l": "<", "\\b": "[", "\\n": "\n"}
 
 
 def escape(text: str) -> str:
@@ -40,12 +40,12 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\[elb]", lambda m: _UNESCAPED[m[0]], text)
+    return re.sub(r"\\[elbn]", lambda m: _UNESCAPED[m[0]], text)
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """A message's segment and the range of it that counts for the loss."""
-    head = f"{TURN}{escape(role)}\n"
+    head = TURN + escape(role).replace("\n", "\\n") + "\n"
     body = escape(text)
     return head + body + END, len(head), len(head) + len(body) * (role == "assistant")
 

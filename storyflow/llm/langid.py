@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyflow.llm.arrowtext import slices, text_column
-from storyflow.shared import table
+from storyflow.shared import cut, table
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
@@ -121,10 +121,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model
     """Counts over all rows with a text and a label; None if there are none."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sums = rows.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    seen = sums.limit((BUCKETS + 1) * MAX_LANGUAGES + 1).toPandas()
-    langs = sorted(seen["lang"].unique())
+    sums, _ = cut(sums, "ngrams")
+    langs = sorted(r.lang for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    seen = sums.toPandas()
     if not langs:
         return None
     counts = np.zeros((BUCKETS + 1, len(langs)))
