@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from storyflow.plans import books, chapters, forums, markup, metadata, streams, values  # noqa: F401
+from storyflow.plans import books, chapters, forums, markup, metadata, sites, streams, values  # noqa: F401
 from storyflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
