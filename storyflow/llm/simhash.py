@@ -37,9 +37,10 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 BLOCK, MAX_BLOCKS = 1024, 1 << 14
 #: Children of a node of the tree.
 FAN = 8
-#: Queries that descend a tree together.
-BATCH = 2048
-_SPACES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Queries that descend the upper nodes, and the tree of a block, together. A
+#: query has at most 2,081 fingerprints within two bits, so this bounds memory.
+BATCH, LINK_BATCH = 2048, 512
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
@@ -146,11 +147,11 @@ def _links(group: pa.Table) -> pa.Table:
     nodes = np.union1d(members, queries)
     if not len(members) or not len(queries):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    tree = GrayTree(members, np.full(len(members), _SPACES))
+    tree = GrayTree(members, np.full(len(members), _ALL))
 
     def pairs():
-        for at in range(0, len(queries), BATCH):
-            part = queries[at : at + BATCH]
+        for at in range(0, len(queries), LINK_BATCH):
+            part = queries[at : at + LINK_BATCH]
             q, m = tree.search(part)
             yield np.searchsorted(nodes, part[q]), np.searchsorted(nodes, members[m])
 
