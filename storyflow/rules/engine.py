@@ -20,6 +20,8 @@ from storyflow.rules import language
 from storyflow.rules.language import Filter, Program, Test
 
 _LIST = "array<string>"
+#: Longer programs are interpreted: as Columns they would outgrow a compiled method.
+MOST_LINES = 100
 
 
 def test_column(test: Test, value: Column, is_list: bool) -> Column | None:
@@ -68,11 +70,11 @@ def _kept(filters: tuple[Filter, ...], key: str, entries: Entries, value: Column
 
 
 def is_columnar(program: Program, key: str) -> bool:
-    """Whether the lines that concern an entry all have Column forms."""
+    """Whether the lines that concern an entry are few and all have Column forms."""
     lines = [r for r in program.replacements if not r.keys or key in r.keys]
     filters = [f for group in (program.include_pre, program.exclude_pre, program.include_post, program.exclude_post) for f in group if key in f.test.keys]
     tests = [t for x in [*lines, *filters] for t in (x.condition, getattr(x, "test", None)) if t]
-    return all(language.java(r) for r in lines) and all(not t.regex or language.java_regex(t.value) for t in tests)
+    return len(lines) + len(filters) <= MOST_LINES and all(language.java(r) for r in lines) and all(not t.regex or language.java_regex(t.value) for t in tests)
 
 
 def scalar_column(program: Program, key: str, entries: Entries, value: Column) -> Column:
