@@ -22,11 +22,11 @@ def longest_first(df: DataFrame, keys: list[str], text: str, position: str) -> D
 
 
 def keep(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(keys.select(on).distinct(), on, "left_semi")
+    return df.join(keys.select(on), on, "left_semi")
 
 
 def drop(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(keys.select(on).distinct(), on, "left_anti")
+    return df.join(keys.select(on), on, "left_anti")
 
 
 def numbered(df: DataFrame, by: list[str], *order: Column, name: str = "number") -> DataFrame:

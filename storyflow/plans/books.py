@@ -8,6 +8,7 @@ from storyflow.functions import text
 from storyflow.operators import keys, library, lookups, positions
 from storyflow.plans.registry import query
 from storyflow.shared import table
+from storyflow.sinks import render
 
 
 @query("select doc_id, source from documents where doc_id not in (select doc_id from labels where quality = 0)")
@@ -174,3 +175,12 @@ def author_url_diff(spark, sf):
 def reject_list_longest(spark, sf):
     rows = table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("section_url"), F.col("o_orderpriority").alias("url"), F.col("o_orderkey").alias("pos"))
     return library.reject_list(rows).select("section_url", F.col("pos").alias("kept"))
+
+
+@query("""with c as (select user_id % 50 as story, event_id // 2000 as version, event_type as entry, count(*) as value from events group by 1, 2, 3),
+  b as (select story, version, '<div class="log" id="' || version || '">' || chr(10) || string_agg('<b>' || entry || ':</b> ' || value || '<br />', chr(10) order by entry) || chr(10) || '</div>' as block from (select *, lag(value) over (partition by story, entry order by version) as old from c) where old is distinct from value group by story, version)
+  select story, string_agg(block, chr(10) order by version desc) as log from b group by story""")
+def change_log(spark, sf):
+    rows = table(spark, sf, "events").groupBy((F.col("user_id") % 50).alias("story"), F.floor(F.col("event_id") / 2000).cast("bigint").alias("version"), F.col("event_type").alias("entry")).agg(F.count("*").alias("value"))
+    changed = positions.changes(rows, ["story", "entry"], "value", F.col("version"))
+    return render.log_page(changed, "story", "version", "entry", "value")

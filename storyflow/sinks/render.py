@@ -103,6 +103,15 @@ def zipped(entries: DataFrame, story: str) -> DataFrame:
     return entries.groupBy(story).applyInArrow(one, f"{story} {kind}, data binary")
 
 
+def log_page(changes: DataFrame, story: str, version: str, entry: str, value: str) -> DataFrame:
+    """``log``: a block for each version, newest first, of its changed entries by name."""
+    line = F.concat(F.lit("<b>"), F.col(entry), F.lit(":</b> "), F.coalesce(F.col(value).cast("string"), F.lit("")), F.lit("<br />"))
+    blocks = changes.groupBy(story, version).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("_b"))
+    whole = F.concat(F.lit('<div class="log" id="'), F.col(version).cast("string"), F.lit('">\n'), "_b", F.lit("\n</div>"))
+    ordered = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(version).alias("o"), whole.alias("t")))))
+    return blocks.groupBy(story).agg(F.array_join(F.transform(ordered, lambda r: r["t"]), "\n").alias("log"))
+
+
 def without_new_marks(chapters: DataFrame, title: str = "title", original: str = "origtitle") -> DataFrame:
     """Chapters under their original titles again."""
     return chapters.withColumn(title, F.coalesce(original, title))
