@@ -241,15 +241,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return own.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
+def _row_key(doc_id: Column, key: Column) -> Column:
+    """A never-null key of an id and a text, by which rows meet in a single shuffle."""
+    return F.sha2(F.concat_ws(":", F.when(doc_id.isNull(), "none").otherwise(F.concat(F.lit("id "), doc_id.cast("string"))), F.coalesce(key, F.lit("none"))), 256)
+
+
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: smallest id (nulls last), then key."""
     found = near_duplicates(docs, doc_id, text)
-    own, id_, key = (unused(docs, n) for n in ("own", "first_id", "first_key"))
+    row, best_row = unused(docs, "row_key"), unused(docs, "best_row_key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b")
-    best = found.groupBy("root").agg(least).select(F.col("b.doc_id").alias(id_), F.col("b.key").alias(key))
-    keyed = docs.withColumn(own, F.sha2(F.col(text), 256))
-    kept = keyed.join(best, F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(own).eqNullSafe(F.col(key)), "left_semi")
-    return kept.dropDuplicates([doc_id, own]).select(docs.columns)
+    best = found.groupBy("root").agg(least).select(_row_key(F.col("b.doc_id"), F.col("b.key")).alias(best_row))
+    keyed = docs.withColumn(row, _row_key(F.col(doc_id), F.sha2(F.col(text), 256)))
+    return keyed.join(best, F.col(row) == F.col(best_row), "left_semi").dropDuplicates([row]).select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
