@@ -1,9 +1,10 @@
 """Secret scanning over a ledger of blobs, with DataFrame functions only.
 
 A text is addressed by its SHA-256. The ledger, a Parquet table, has a row for
-each (blob, rule version) that was scanned, with its findings. A scan takes
-every distinct blob that the ledger lacks under the current version, appends
-it, and joins findings back to all rows that hold the blob.
+each (blob, rule version, digest of the rules) that was scanned, with its
+findings. A scan takes every distinct blob that the ledger lacks under the
+current version and rules, appends it, and joins findings back to all rows that
+hold the blob. Rows of older ledgers have no digest and are scanned again.
 
 Positions come from the text itself: ``split`` by a pattern gives the gaps
 between its leftmost non-overlapping matches, ``regexp_extract_all`` the
@@ -16,7 +17,8 @@ in the ledger; they are found again there, and repeated ones count once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,15 @@ class Rule:
     base: bool = False
 
 
+#: A key from its BEGIN line to the END line of the same label. Where the next
+#: marker is another or none, to the last line of base64; such lines may also be
+#: long words of the same line, or follow an escaped line break. Loops over
+#: groups are possessive, as Java matches those without recursion.
+PRIVATE_KEY = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?>[\s\S]*?-----)END \1PRIVATE KEY-----"
+    r"|(?:(?:[ \t]*+\r?\n)++[ \t]*+(?:(?:Proc-Type|DEK-Info):[^\r\n]*+|[A-Za-z0-9+/=]++(?=[ \t]*+(?:[\r\n]|\z)))"
+    r"|(?:\\r)?\\n[A-Za-z0-9+/=]++|[ \t]++[A-Za-z0-9+/=]{40,}+)*+)"
+)
 #: Fixed values. ``access`` and ``hex`` carry their lengths in the pattern:
 #: matches are whole runs, so no shorter run could have hidden a longer one.
 RULES = (
@@ -43,7 +54,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 VERSION = "1"
@@ -79,30 +90,35 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*(_spans(text, no, rule) for no, rule in enumerate(rules))))
 
 
-def _ledger(spark: SparkSession, path: str, version: str) -> DataFrame | None:
+def rules_digest(rules: tuple[Rule, ...]) -> str:
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()
+
+
+def _ledger(spark: SparkSession, path: str, version: str, digest: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).where(F.col("rule_version") == version).select("blob", "spans")
+        rows = spark.read.schema(f"blob string, rule_version string, rules string, spans array<{_SPAN}>").parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
+    return rows.where((F.col("rule_version") == version) & (F.col("rules") == digest)).select("blob", "spans")
 
 
 def scan(docs: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
     """Bring the ledger at ``ledger`` up to date; return its rows with findings (blob, spans)."""
-    spark = docs.sparkSession
+    spark, digest = docs.sparkSession, rules_digest(rules)
     blobs = docs.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    known = _ledger(spark, ledger, version)
+    known = _ledger(spark, ledger, version, digest)
     if known is not None:
         blobs = blobs.join(known.select("blob").distinct(), "blob", "left_anti")
     unseen = blobs.dropDuplicates(["blob"])
-    unseen.select("blob", F.lit(version).alias("rule_version"), spans_of(F.col("body"), rules).alias("spans")).write.mode("append").parquet(ledger)
-    return _ledger(spark, ledger, version).where(F.size("spans") > 0).groupBy("blob").agg(F.any_value("spans").alias("spans"))
+    unseen.select("blob", F.lit(version).alias("rule_version"), F.lit(digest).alias("rules"), spans_of(F.col("body"), rules).alias("spans")).write.mode("append").parquet(ledger)
+    return _ledger(spark, ledger, version, digest).where(F.size("spans") > 0).groupBy("blob").agg(F.any_value("spans").alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
     """One row per row of ``docs``: doc_id, spans (empty where there are none)."""
-    found = scan(docs, ledger, text, rules)
+    found = scan(docs, ledger, text, rules, version)
     paths = docs.select(F.col(doc_id).alias("doc_id"), blob_of(F.col(text)).alias("blob"))
     return paths.join(found, "blob", "left").select("doc_id", F.coalesce("spans", F.expr(_NONE)).alias("spans"))
 
@@ -118,10 +134,10 @@ def mask(text: Column, spans: Column, by: str = MASK) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
 
 
-def redact(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
     """``docs`` with the secrets in its texts masked."""
     blob, spans = unused(docs, "blob"), unused(docs, "spans")
-    found = scan(docs, ledger, text).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    found = scan(docs, ledger, text, rules, version).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     joined = docs.join(found, blob_of(F.col(text)) == F.col(blob), "left")
     return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(mask(F.col(text), F.col(spans)))).select(docs.columns)
 

@@ -93,3 +93,35 @@ def test_random_texts(spark, texts):
 def test_main_path_runs_no_python(spark, small):
     plan = secretscan.op10_secrets(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_private_keys_are_masked_whole(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "x+/A" * 12] * 30) + "\nq0==\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    long = "\n".join(["A" * 64] * 20000) + "\n"
+    texts = [
+        f"a {begin}{body}{end} b",
+        f"a {begin}Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}{end} b",
+        f"a {begin}{body}the rest b",
+        f"a {begin}{body}{begin}{body}{end} b",
+        f"a {(begin + body + end).replace(chr(10), ' ')} b",
+        f"a {(begin + body).replace(chr(10), chr(92) + 'n')}' b",
+        f"a {begin}{long}{end} b",
+        f"a {begin}{long}- b",
+        "a -----BEGIN PRIVATE KEY----- b",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secretscan.redact(df, fresh_path(spark, "ledger")).collect()}
+    assert got[0] == got[1] == got[4] == got[6] == got[8] == "a [SECRET] b" and got[2] == "a [SECRET]\nthe rest b"
+    assert got[3] == "a [SECRET]\n[SECRET] b" and got[7] == "a [SECRET]\n- b" and got[5].startswith("a [SECRET]") and "MIIE" not in got[5]
+
+
+def test_other_rules_scan_known_blobs_again(spark):
+    path = fresh_path(spark, "ledger")
+    df = spark.createDataFrame([(1, "token=abcdefgh zebra")], "doc_id bigint, text string")
+    assert [s.kind for s in secretscan.findings(df, path).first().spans] == ["assign"]
+    rules = (secretscan.Rule("animal", "zebra"),)
+    assert [s.kind for s in secretscan.findings(df, path, rules=rules).first().spans] == ["animal"]
+    assert secretscan.redact(df, path, rules=rules).first().text == "token=abcdefgh [SECRET]"
+    assert spark.read.parquet(path).count() == 2
+    assert secretscan.findings(df, path, version="9").count() == 1 and spark.read.parquet(path).count() == 3
