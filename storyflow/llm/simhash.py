@@ -21,7 +21,7 @@ has none. Repeated rows stay rows. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,9 +246,12 @@ def _row_key(doc_id: Column, key: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.when(doc_id.isNull(), "none").otherwise(F.concat(F.lit("id "), doc_id.cast("string"))), F.coalesce(key, F.lit("none"))), 256)
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: smallest id (nulls last), then key."""
-    found = near_duplicates(docs, doc_id, text)
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one row of each component: smallest id (nulls last), then key.
+
+    ``groups`` gives doc_id, key and root of every row.
+    """
+    found = groups(docs, doc_id, text)
     row, best_row = unused(docs, "row_key"), unused(docs, "best_row_key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b")
     best = found.groupBy("root").agg(least).select(_row_key(F.col("b.doc_id"), F.col("b.key")).alias(best_row))
