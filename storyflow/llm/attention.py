@@ -226,17 +226,21 @@ class Model:
 
 
 class Adam:
-    """Adam over the model's parameters, with a linearly falling rate."""
+    """Adam over the model's parameters, with a linearly falling rate.
 
-    def __init__(self, model: Model, rate: float, steps: int):
+    It falls with the steps done of ``steps``, or by what a step is told is left.
+    """
+
+    def __init__(self, model: Model, rate: float, steps: int = 0):
         self.model, self.rate, self.steps, self.t = model, rate, steps, 0
         self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
         self.s = {k: np.zeros_like(x) for k, x in model.p.items()}
 
-    def step(self, inputs: np.ndarray, targets: np.ndarray) -> float:
+    def step(self, inputs: np.ndarray, targets: np.ndarray, left: float | None = None) -> float:
         loss, d = self.model.gradient(inputs, targets)
         self.t += 1
-        rate = self.rate * max(0.05, 1 - self.t / (self.steps + 1)) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        left = 1 - self.t / (self.steps + 1) if left is None else left
+        rate = self.rate * max(0.05, left) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in d.items():
             self.m[k] += 0.1 * (g - self.m[k])
             self.s[k] += 0.01 * (g * g - self.s[k])

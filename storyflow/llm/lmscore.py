@@ -11,9 +11,10 @@ that their scores are the same number; sums of floats would differ in the last
 digits by what else a batch holds.
 
 Training: the attention model starts on the driver from about ``WARM_TEXTS``
-training texts. Then every partition trains a copy of it on one in
-``SAMPLE`` of its training texts, and the copies are averaged by symbols seen, summed
-by a shuffle. The model has a fixed size (under 50,000 numbers).
+training texts. Then every partition trains a copy of it on all its training
+texts, at a rate that falls with the share of its bytes that it has seen, and the
+copies are averaged by symbols seen, summed by a shuffle. The model has a fixed
+size (``attention.SYMBOLS``).
 
 Defined cases: a null text counts as empty and is scored as its end alone.
 Repeated rows count as often as they occur and get equal scores. Without
@@ -32,6 +33,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ from storyflow.shared import cut, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 FREQUENT = 1 << 18
 WARM_TEXTS, WARM_BLOCKS, WARM_STEPS, WARM_RATE = 1500, 1 << 16, 1500, 0.03
-SAMPLE, TUNE_RATE, TUNE_STEPS = 64, 0.004, 64
+TUNE_RATE = 0.004
 STEP_BLOCKS = 64
 #: Blocks that are scored together, and that a trainer shuffles together.
 SCORE_BLOCKS, SHUFFLE_BLOCKS = 4096, 4096
@@ -173,31 +175,35 @@ def warm_start(texts: DataFrame, rows: int, vocabulary: attention.Vocabulary, su
 
 def tune(texts: DataFrame, model: attention.Model, subwords: Subwords) -> attention.Model:
     """The average of copies that every partition trains on its part of ``texts``."""
-    held = texts.sparkSession.sparkContext.broadcast(model)
+    sizes = texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
+    held = texts.sparkSession.sparkContext.broadcast((model, {r.part: r.bytes for r in sizes.collect()}))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = attention.Model(held.value.v)
-        own.load(held.value.flat())
-        adam, seen = attention.Adam(own, TUNE_RATE, TUNE_STEPS), 0
+        start, sizes = held.value
+        own = attention.Model(start.v)
+        own.load(start.flat())
+        adam, seen, done = attention.Adam(own, TUNE_RATE), 0, 0
+        total = sizes.get(TaskContext.get().partitionId(), 0)
         random = np.random.default_rng(13)
 
-        def learn(parts: list[tuple]) -> int:
+        def learn(parts: list[tuple], read: int) -> int:
             inputs, targets = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             order = random.permutation(len(inputs))
             for at in range(0, len(order), STEP_BLOCKS):
                 pick = order[at : at + STEP_BLOCKS]
-                adam.step(inputs[pick], targets[pick])
+                adam.step(inputs[pick], targets[pick], 1 - (done + read * at / len(order)) / max(1, total))
             return int((targets >= 0).sum())
 
-        waiting: list[tuple] = []
+        waiting, rows, read = [], 0, 0
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 waiting.append(attention.blocks(_symbols(own, subwords, [text]), own.v.end)[:2])
-                if sum(len(p[0]) for p in waiting) >= SHUFFLE_BLOCKS:
-                    seen += learn(waiting)
-                    waiting = []
+                rows, read = rows + len(waiting[-1][0]), read + len(text) + 1
+                if rows >= SHUFFLE_BLOCKS:
+                    seen += learn(waiting, read)
+                    done, waiting, rows, read = done + read, [], 0, 0
         if waiting:
-            seen += learn(waiting)
+            seen += learn(waiting, read)
         if seen:
             flat = own.flat().astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, seen))], names=["at", "x"])
@@ -305,7 +311,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     subwords = Subwords(spark, path)
     vocabulary = attention.Vocabulary(*subword_counts(counts, subwords), ends, subwords.all_ids)
     model = warm_start(learned, ends, vocabulary, subwords)
-    model = tune(learned.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 1), model, subwords)
+    model = tune(learned, model, subwords)
     known = frequent(counts, most_frequent)
     different = own.select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
     marked = different.select("key", _scored(spark, model, subwords, known, n, v)(F.col("text")).alias("r"))

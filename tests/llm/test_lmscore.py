@@ -116,3 +116,22 @@ def test_gradient_matches_differences():
             down = model.gradient(x, y)[0]
             p.ravel()[at] = kept
             assert abs((up - down) / (2 * e) - d[name].ravel()[at]) < 1e-4, name
+
+
+def test_tuning_gets_every_training_text(spark, small, monkeypatch):
+    given, tune = [], lmscore.tune
+    monkeypatch.setattr(lmscore, "tune", lambda texts, *more: (given.append(texts.count()), tune(texts, *more))[1])
+    docs = table(spark, small, "documents")
+    lmscore.scores(docs)
+    assert given == [docs.where(~lmscore.held_out()).count()]
+
+
+def test_rate_falls_with_what_is_left():
+    moved = []
+    for left in (1.0, 0.5, 0.0):
+        model = attention.Model(vocabulary())
+        before = model.flat()
+        x, y, _ = attention.blocks([np.arange(40) % 30], model.v.end)
+        attention.Adam(model, 0.004).step(x, y, left)
+        moved.append(np.abs(model.flat() - before).max())
+    assert np.allclose(moved, [0.004, 0.002, 0.0002], rtol=0.05)
