@@ -14,7 +14,7 @@ import numpy as np
 
 BLOCK, WIDTH, HIDDEN, CLASSES = 16, 16, 32, 64
 #: Ids that are symbols of their own.
-SYMBOLS = 1024
+SYMBOLS = 4096
 #: Blocks whose intermediate arrays fit into a core's cache.
 CACHED = 64
 _FUTURE = -1e9

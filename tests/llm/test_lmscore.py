@@ -135,3 +135,8 @@ def test_rate_falls_with_what_is_left():
         attention.Adam(model, 0.004).step(x, y, left)
         moved.append(np.abs(model.flat() - before).max())
     assert np.allclose(moved, [0.004, 0.002, 0.0002], rtol=0.05)
+
+
+def test_the_4096_most_frequent_ids_are_symbols():
+    v = attention.Vocabulary(np.arange(6000), np.arange(6000, 0, -1), 10, 6000)
+    assert v.other == 4096 and sorted(v.symbol[:4096]) == list(range(4096)) and (v.symbol[4096:] == v.other).all()
