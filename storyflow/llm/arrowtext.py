@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into Python objects or numpy arrays at once.
 #: One text longer than this is still handled whole.
 CHUNK_BYTES = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
@@ -27,6 +29,31 @@ def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         yield texts.slice(start)
 
 
+def pieces(text: bytes | None, limit: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """``text`` in pieces of about ``limit`` bytes, cut at an ASCII white space; a word is never cut."""
+    text, at = text or b"", 0
+    while len(text) - at > limit:
+        found = _SPACE.search(text, at + limit)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
+def grouped(given: list[tuple[int, bytes]], limit: int = CHUNK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
+    """Consecutive pieces with about ``limit`` bytes together."""
+    held, size = [], 0
+    for one in given:
+        held.append(one)
+        size += len(one[1])
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def text_column(fn: Callable[[list[bytes | None]], pa.Array], schema: str) -> Callable[[Column], Column]:
     """A column function: ``fn`` maps UTF-8 texts (or None) to an Arrow array.
 

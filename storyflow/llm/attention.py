@@ -1,23 +1,42 @@
 """A small causal self-attention language model in numpy.
 
 Symbols are subword ids by falling count; one symbol stands for all rarer ids
-and one for the end of a text. A text is cut into blocks of ``BLOCK`` symbols.
-The symbols of a block are scored together, each attending to those before it in
-its own block and to the whole previous block, so windows overlap and every
-symbol is scored once. The output is a softmax over classes of about equal mass
-and one over the symbols of the class.
+and one for the end of a text. Symbols fall into classes of about equal mass,
+and log p(next) is the sum of
+
+* a softmax over classes: the logarithm of how often the class follows the last
+  symbol and the class of the one before, counted over all training texts, plus
+  ``h @ out``, where ``h`` is what causal attention gathers from the symbols before;
+* the symbol's share of its class after the last symbol, counted likewise.
+
+Counts are smoothed by the number of kinds that follow (Witten and Bell), so both
+parts sum to one. A text is cut into blocks of ``BLOCK`` symbols. The symbols of
+a block are scored together, each attending to those before it in its own block
+and to the whole previous block: windows overlap, every symbol is scored once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-BLOCK, WIDTH, HIDDEN, CLASSES = 16, 16, 32, 64
+BLOCK, WIDTH, CLASSES = 16, 16, 64
 #: Ids that are symbols of their own.
 SYMBOLS = 4096
-#: Blocks whose intermediate arrays fit into a core's cache.
-CACHED = 64
-_FUTURE = -1e9
+#: Blocks of a training step, and of a scoring step whose arrays fit into a core's cache.
+STEP, CACHED = 256, 256
+#: Symbols of a text that are laid out together, a multiple of BLOCK.
+PIECE = 1 << 16
+#: A shard of fewer steps than these is passed over again, this often at most.
+LEAST_STEPS, PASSES = 100, 4
+#: First rate of training, and the steps after which it has fallen to a half.
+RATE, HALF = 0.02, 60
+#: Parameters are summed as integers of this unit, so that order doesn't matter.
+UNIT = 1 << 32
+#: What is added to attention scores of the future, and a bound below which exp fits a float without a shift.
+_FUTURE, _SAFE = np.float32(-1e9), 80
+_AGO = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)
 
 
 class Vocabulary:
@@ -30,7 +49,7 @@ class Vocabulary:
         rest = np.setdiff1d(ids, kept)
         mass = counts[order].tolist() + [counts.sum() - counts[order].sum() + 0.5, texts + 0.5]
         self.mass = np.maximum(np.array(mass, float), 0.5)
-        self.symbol = np.full(all_ids, self.other, np.int32)
+        self.symbol = np.full(all_ids, self.other, np.uint16)
         self.symbol[kept] = np.arange(len(kept))
         # a rarer id's share of OTHER; ids never seen share as much as once-seen ones have kinds
         share = np.zeros(all_ids)
@@ -41,52 +60,130 @@ class Vocabulary:
         self.share = np.zeros(all_ids)
         np.log(share / max(share.sum(), 1e-9), out=self.share, where=share > 0)
         # classes of about equal mass over symbols by falling mass
-        self.by_mass = np.argsort(-self.mass, kind="stable")
-        place = np.cumsum(self.mass[self.by_mass]) / self.mass.sum()
+        by_mass = np.argsort(-self.mass, kind="stable")
+        place = np.cumsum(self.mass[by_mass]) / self.mass.sum()
         cut = np.unique(np.minimum((place * CLASSES).astype(int), CLASSES - 1), return_inverse=True)[1]
-        self.class_of = np.zeros(len(self.mass), np.uint8)
-        self.class_of[self.by_mass] = cut
-        self.starts = np.searchsorted(cut, np.arange(cut.max() + 2))
-        self.inside = np.zeros(len(self.mass), np.int32)
-        self.inside[self.by_mass] = np.arange(len(self.mass)) - self.starts[cut]
+        self.class_of = np.zeros(len(self.mass), np.int64)
+        self.class_of[by_mass] = cut
+        self.classes = int(cut.max()) + 1
+
+
+class Follows:
+    """How often symbols follow each other, as smoothed logarithms.
+
+    ``pairs`` are sorted numbers (last symbol * symbols + next), ``n`` their counts;
+    ``cells`` are numbers (context * classes + class of next), see :meth:`context`.
+    """
+
+    def __init__(self, v: Vocabulary, pairs: np.ndarray, n: np.ndarray, cells: np.ndarray, times: np.ndarray):
+        self.v, self.pairs, self.n, self.cells, self.times = v, pairs, n.astype(np.float64), cells, times
+        size, classes = len(v.mass), v.classes
+        last, after = np.divmod(pairs, size)
+        cell = last * classes + v.class_of[after]
+        self.seen = np.bincount(cell, self.n, size * classes).reshape(size, classes)
+        self.kinds = np.maximum(np.bincount(cell, minlength=size * classes).reshape(size, classes), 1)
+        self.of_class = np.bincount(v.class_of, v.mass, classes)
+        self.within = v.mass / self.of_class[v.class_of]
+        self._inside: np.ndarray | None = None
+        self._class_log: np.ndarray | None = None
 
+    def context(self, own: np.ndarray) -> np.ndarray:
+        """Of each symbol from the second on: itself and the class of the one before, as a number."""
+        return own[1:].astype(np.int64) * self.v.classes + self.v.class_of[own[:-1]]
 
-def blocks(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (n, 2 * BLOCK), targets (n, BLOCK; -1 after the end) and each row's text."""
-    inputs, targets, owner = [], [], []
+    @property
+    def class_log(self) -> np.ndarray:
+        """log p(class of next | context) by context; made where it is first used."""
+        if self._class_log is None:
+            classes = self.v.classes
+            kinds = np.maximum((self.seen > 0).sum(1, keepdims=True), 1)
+            short = (self.seen + kinds * self.of_class / self.of_class.sum()) / (self.seen.sum(1, keepdims=True) + kinds)
+            out = np.empty((len(short) * classes, classes), np.float32)
+            for lo in range(0, len(short), 64):
+                hi = min(len(short), lo + 64)
+                part = np.zeros(((hi - lo) * classes, classes))
+                a, b = np.searchsorted(self.cells, (lo * classes * classes, hi * classes * classes))
+                part.ravel()[self.cells[a:b] - lo * classes * classes] = self.times[a:b]
+                kinds = np.maximum((part > 0).sum(1, keepdims=True), 1)
+                total = part.sum(1, keepdims=True) + kinds
+                part += kinds * np.repeat(short[lo:hi], classes, 0)
+                part /= total
+                out[lo * classes : hi * classes] = np.log(part)
+            self._class_log = out
+        return self._class_log
+
+    @property
+    def inside(self) -> np.ndarray:
+        """log p(next | its class, last) by pair; made where it is first used."""
+        if self._inside is None:
+            size = len(self.v.mass)
+            out, c = np.empty((size, size), np.float32), self.v.class_of
+            for lo in range(0, size, 256):
+                hi = min(size, lo + 256)
+                part = np.ascontiguousarray(self.kinds[lo:hi, c] * self.within)
+                a, b = np.searchsorted(self.pairs, (lo * size, hi * size))
+                part.ravel()[self.pairs[a:b] - lo * size] += self.n[a:b]
+                part /= (self.seen + self.kinds)[lo:hi, c]
+                out[lo:hi] = np.log(part)
+            self._inside = out.ravel()
+        return self._inside
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_inside": None, "_class_log": None}
+
+
+def laid_out(texts: Iterator[np.ndarray], end: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of texts: inputs and targets (n, BLOCK), and each row's text, ``rows`` or a little more at a time.
+
+    Before a text, or a piece of one, stands the block of what comes before it,
+    whose targets are -1; a window is a block and the one above it.
+    """
+    held, size = [], 0
     for i, symbols in enumerate(texts):
         n = len(symbols) + 1
-        rows = -(-n // BLOCK)
-        own = np.full((rows + 1) * BLOCK, end, np.int32)
-        own[BLOCK + 1 : BLOCK + n] = symbols
-        goal = np.full(rows * BLOCK, -1, np.int32)
-        goal[: n - 1], goal[n - 1] = symbols, end
-        own = own.reshape(-1, BLOCK)
-        inputs.append(np.concatenate([own[:-1], own[1:]], axis=1))
-        targets.append(goal.reshape(-1, BLOCK))
-        owner.append(np.full(rows, i))
-    return np.concatenate(inputs), np.concatenate(targets), np.concatenate(owner)
+        for at in range(0, n, PIECE):
+            m = min(PIECE, n - at)
+            own = np.full((-(-m // BLOCK) + 1) * BLOCK, end, np.int32)
+            goal = np.full(len(own), -1, np.int32)
+            first = max(0, at - BLOCK - 1)
+            before = symbols[first : at + m - 1]
+            own[BLOCK + m - len(before) : BLOCK + m] = before
+            after = symbols[at : at + m]
+            goal[BLOCK : BLOCK + len(after)] = after
+            if len(after) < m:
+                goal[BLOCK + len(after)] = end
+            held.append((own, goal, i))
+            size += len(own) // BLOCK
+            if size >= rows:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
 
 
-_AGO = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)
+def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, goal = (np.concatenate([h[k] for h in held]).reshape(-1, BLOCK) for k in (0, 1))
+    return own, goal, np.repeat([h[2] for h in held], [len(h[0]) // BLOCK for h in held])
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """(n - 1, 2 * BLOCK, width) over n blocks of rows of ``x``, without copying."""
+    n, step = len(x) // BLOCK, x.strides[0]
+    return np.lib.stride_tricks.as_strided(x, (n - 1, 2 * BLOCK, x.shape[1]), (BLOCK * step, step, x.strides[1]))
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, seed: int = 7):
-        v, r = vocabulary, np.random.default_rng(seed)
-        n, c = len(v.mass), len(v.starts) - 1
+    def __init__(self, follows: Follows, seed: int = 7):
+        r, c = np.random.default_rng(seed), follows.v.classes
 
         def some(*shape: int, scale: float) -> np.ndarray:
             return (r.standard_normal(shape) * scale).astype(np.float32)
 
-        mass = np.bincount(v.class_of, v.mass, c)
-        self.v = v
+        self.v, self.follows = follows.v, follows
         self.p = {
-            "embed": some(n, WIDTH, scale=0.3), "q": some(WIDTH, WIDTH, scale=WIDTH**-0.5), "k": some(WIDTH, WIDTH, scale=WIDTH**-0.5), "v": some(WIDTH, WIDTH, scale=WIDTH**-0.5),
-            "ago": (-0.3 * np.arange(2 * BLOCK)).astype(np.float32), "up": some(WIDTH, HIDDEN, scale=WIDTH**-0.5), "up0": np.zeros(HIDDEN, np.float32), "down": some(HIDDEN, WIDTH, scale=0.1 * HIDDEN**-0.5),
-            "class": some(WIDTH, c, scale=0.05), "class0": np.log(mass / mass.sum()).astype(np.float32),
-            "out": some(n, WIDTH, scale=0.05), "out0": np.log(v.mass[v.by_mass] / mass[v.class_of[v.by_mass]]).astype(np.float32),
-        }  # fmt: skip  # rows of out follow by_mass
+            "embed": some(len(follows.v.mass), WIDTH, scale=0.5), "q": some(WIDTH, WIDTH, scale=WIDTH**-0.5), "k": some(WIDTH, WIDTH, scale=WIDTH**-0.5),
+            "v": some(WIDTH, WIDTH, scale=WIDTH**-0.5), "ago": (-0.2 * np.arange(2 * BLOCK)).astype(np.float32), "out": np.zeros((WIDTH, c), np.float32),
+        }
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -97,152 +194,161 @@ class Model:
             self.p[name] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
-    def tables(self) -> tuple:
-        """By symbol: scaled queries, keys, and values with a one appended; and what exp takes.
+    def bias(self) -> np.ndarray:
+        return np.where(_AGO < 0, _FUTURE, self.p["ago"][np.maximum(_AGO, 0)])
 
-        ``limit`` bounds every attention score. Below 80 its exponential fits a
-        float, so the largest score need not be subtracted first.
-        """
-        p = self.p
-        q, k, v = (p["embed"] @ p[x] for x in "qkv")
+    def tables(self) -> tuple:
+        """By symbol: scaled queries, keys, values; the bias by distance; whether exp needs a shift."""
+        q, k, v = (self.p["embed"] @ self.p[x] for x in "qkv")
         q *= np.float32(WIDTH**-0.5)
-        limit = np.sqrt((q * q).sum(1).max() * (k * k).sum(1).max()) + np.abs(p["ago"]).max()
-        bias = np.where(_AGO < 0, np.float32(_FUTURE), p["ago"][np.maximum(_AGO, 0)])
-        return q, k, np.concatenate([v, np.ones((len(v), 1), v.dtype)], axis=1), bias, limit
-
-    def _attend(self, inputs: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unnormalised attention, its sums, and the symbols with what they attend to."""
-        q, k, v, bias, limit = tables
-        own = inputs[:, BLOCK:]
-        a = np.matmul(q[own], k[inputs].transpose(0, 2, 1))
-        a += bias
-        if limit >= 80:
-            a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        seen = np.matmul(a, v[inputs])
-        total = seen[..., WIDTH:]
-        h = seen[..., :WIDTH] / total
-        h += self.p["embed"][own]
-        return a, total, h.reshape(-1, WIDTH)
+        return q, k, v, self.bias(), self.large(q, k)
+
+    def large(self, q: np.ndarray, k: np.ndarray) -> bool:
+        """Whether attention scores may be too large for exp."""
+        return float(np.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", k, k).max()) + np.abs(self.p["ago"]).max()) > _SAFE
 
     def score(self, inputs: np.ndarray, targets: np.ndarray, tables: tuple) -> np.ndarray:
-        """Natural log-probability of each target; 0 where there is none."""
-        p, v = self.p, self.v
-        goal = targets.ravel()
-        at = np.flatnonzero(goal >= 0)
-        group = v.class_of[goal]
-        g, got = np.empty((len(goal), WIDTH), np.float32), np.empty(len(goal), np.float32)
-        ones = np.ones(p["class"].shape[1], np.float32)
-        for lo in range(0, len(inputs), CACHED):
-            rows = slice(lo * BLOCK, (lo + CACHED) * BLOCK)
-            h = self._attend(inputs[lo : lo + CACHED], tables)[2]
-            up = h @ p["up"]
-            up += p["up0"]
-            np.maximum(up, 0, out=up)
-            h += up @ p["down"]
-            logit = h @ p["class"]
-            logit += p["class0"]
-            own = logit[np.arange(len(h)), group[rows]]
+        """Natural log-probability of each block's targets together; 0 for a block without."""
+        q, k, v, bias, large = tables
+        out, inside, size = np.zeros(len(inputs)), self.follows.inside, len(self.v.mass)
+        class_log = self.follows.class_log
+        ones = np.ones(2 * BLOCK + self.v.classes, np.float32)
+        for lo in range(0, len(inputs) - 1, CACHED):
+            own, goal = inputs[lo : lo + CACHED + 1].ravel(), targets[lo + 1 : lo + CACHED + 1].ravel()
+            last = own[BLOCK:]
+            a = np.matmul(q.take(last, 0).reshape(-1, BLOCK, WIDTH), _windows(k.take(own, 0)).transpose(0, 2, 1))
+            a += bias
+            if large:
+                a -= a.max(-1, keepdims=True)
+            np.exp(a, out=a)
+            h = np.matmul(a, _windows(v.take(own, 0))).reshape(-1, WIDTH)
+            h /= (a.reshape(-1, 2 * BLOCK) @ ones[: 2 * BLOCK])[:, None]
+            logit = h @ self.p["out"]
+            logit += class_log.take(self.follows.context(own[BLOCK - 1 :]), 0)
+            there = np.flatnonzero(goal >= 0)
+            seen = goal[there]
+            got = logit[there, self.v.class_of[seen]].astype(np.float64) + inside.take(last[there].astype(np.int64) * size + seen)
             np.exp(logit, out=logit)
-            g[rows], got[rows] = h, own - np.log(logit @ ones)
-        order = at[np.argsort(group[at], kind="stable")]
-        g, goal, group, got = g[order], goal[order], group[order], got[order]
-        cuts = np.searchsorted(group, np.arange(len(v.starts)))
-        for c in range(len(v.starts) - 1):
-            lo, hi = cuts[c], cuts[c + 1]
-            a, b = v.starts[c], v.starts[c + 1]
-            if lo == hi or b - a == 1:
-                continue
-            own = g[lo:hi] @ p["out"][a:b].T
-            own += p["out0"][a:b]
-            got[lo:hi] += own[np.arange(hi - lo), v.inside[goal[lo:hi]]]
-            np.exp(own, out=own)
-            got[lo:hi] -= np.log(own @ np.ones(b - a, own.dtype))
-        out = np.zeros(targets.size, np.float32)
-        out[order] = got
-        return out.reshape(targets.shape)
-
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss per target and its gradient."""
-        p, v = self.p, self.v
-        a, total, h = self._attend(inputs, self.tables())
-        a /= total
-        goal = targets.ravel()
-        at = np.flatnonzero(goal >= 0)
-        goal, group = goal[at], v.class_of[goal[at]]
-        own = h[at]
-        up = np.maximum(own @ p["up"] + p["up0"], 0)
-        g = own + up @ p["down"]
-        d = {}
-        logit = g @ p["class"] + p["class0"]
-        logit -= logit.max(1, keepdims=True)
+            got -= np.log(logit @ ones[2 * BLOCK :])[there]
+            out[lo + 1 : lo + 1 + len(goal) // BLOCK] = np.bincount(there // BLOCK, got, len(goal) // BLOCK)
+        return out
+
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of the classes per weighted target, and its gradient. ``weight`` is by block."""
+        p, d, scale = self.p, {}, np.float32(WIDTH**-0.5)
+        own = inputs.ravel()
+        x = p["embed"].take(own, 0)
+        q, k, v = x[BLOCK:] @ p["q"], x @ p["k"], x @ p["v"]
+        q *= scale
+        q = q.reshape(-1, BLOCK, WIDTH)
+        a = np.matmul(q, _windows(k).transpose(0, 2, 1))
+        a += self.bias()
+        if self.large(q.reshape(-1, WIDTH), k):
+            a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a *= (1 / (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, a.dtype))).reshape(-1, BLOCK, 1)
+        h = np.matmul(a, _windows(v))
+        flat = h.reshape(-1, WIDTH)
+        logit = flat @ p["out"]
+        logit += self.follows.class_log.take(self.follows.context(own[BLOCK - 1 :]), 0)
         np.exp(logit, out=logit)
-        logit /= logit.sum(1, keepdims=True)
-        n = len(goal)
-        loss = -np.log(logit[np.arange(n), group]).sum()
-        logit[np.arange(n), group] -= 1
-        logit /= n
-        d["class"], d["class0"] = g.T @ logit, logit.sum(0)
-        dg = logit @ p["class"].T
-        d["out"], d["out0"] = np.zeros_like(p["out"]), np.zeros_like(p["out0"])
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(v.starts)))
-        for c in range(len(v.starts) - 1):
-            rows, s, e = order[cuts[c] : cuts[c + 1]], v.starts[c], v.starts[c + 1]
-            if not len(rows) or e - s == 1:
-                continue
-            x = g[rows] @ p["out"][s:e].T + p["out0"][s:e]
-            x -= x.max(1, keepdims=True)
-            np.exp(x, out=x)
-            x /= x.sum(1, keepdims=True)
-            pick = np.arange(len(rows)), v.inside[goal[rows]]
-            loss -= np.log(x[pick]).sum()
-            x[pick] -= 1
-            x /= n
-            d["out"][s:e], d["out0"][s:e] = x.T @ g[rows], x.sum(0)
-            dg[rows] += x @ p["out"][s:e]
-        d["down"] = up.T @ dg
-        dup = (dg @ p["down"].T) * (up > 0)
-        d["up"], d["up0"] = own.T @ dup, dup.sum(0)
-        dh = np.zeros_like(h)
-        dh[at] = dg + dup @ p["up"].T
-        dh = dh.reshape(len(inputs), BLOCK, WIDTH)
-        mine = inputs[:, BLOCK:]
-        ek, eq = p["embed"][inputs], p["embed"][mine]
-        q, k, val = eq @ p["q"], ek @ p["k"], ek @ p["v"]
-        da = np.matmul(dh, val.transpose(0, 2, 1))
-        dval = np.matmul(a.transpose(0, 2, 1), dh)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        d["ago"] = np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO < 0, 0, ds.sum(0)).ravel(), 2 * BLOCK).astype(np.float32)
-        ds *= np.float32(WIDTH**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        for name, e, x in (("q", eq, dq), ("k", ek, dk), ("v", ek, dval)):
-            d[name] = e.reshape(-1, WIDTH).T @ x.reshape(-1, WIDTH)
-        de = np.zeros_like(p["embed"])
-        np.add.at(de, mine.ravel(), (dh + dq @ p["q"].T).reshape(-1, WIDTH))
-        np.add.at(de, inputs.ravel(), (dk @ p["k"].T + dval @ p["v"].T).reshape(-1, WIDTH))
-        d["embed"] = de
-        return loss / n, d
+        total = logit @ np.ones(logit.shape[1], logit.dtype)
+        goal = targets[1:].ravel()
+        there = np.flatnonzero(goal >= 0)
+        group = self.v.class_of[goal[there]]
+        counted = np.zeros(len(goal), p["out"].dtype)
+        counted[there] = np.repeat(weight[1:], BLOCK)[there]
+        n = counted.sum()
+        if not n:
+            return 0.0, {name: np.zeros_like(y) for name, y in p.items()}
+        counted /= n
+        loss = -(counted[there] * (np.log(logit[there, group]) - np.log(total[there]))).sum()
+        logit *= (counted / total)[:, None]
+        logit[there, group] -= counted[there]
+        d["out"] = flat.T @ logit
+        dh = (logit @ p["out"].T).reshape(h.shape)
+        da = np.matmul(dh, _windows(v).transpose(0, 2, 1))
+        da -= np.einsum("rij,rij->ri", dh, h)[..., None]
+        da *= a
+        dv, dk = _folded(np.matmul(a.transpose(0, 2, 1), dh)), _folded(np.matmul(da.transpose(0, 2, 1), q))
+        dq = np.matmul(da, _windows(k)).reshape(-1, WIDTH)
+        dq *= scale
+        d["ago"] = np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO < 0, 0, da.sum(0)).ravel(), 2 * BLOCK).astype(p["ago"].dtype)
+        d["q"], d["k"], d["v"] = x[BLOCK:].T @ dq, x.T @ dk, x.T @ dv
+        dx = dk @ p["k"].T
+        dx += dv @ p["v"].T
+        dx[BLOCK:] += dq @ p["q"].T
+        d["embed"] = np.empty_like(p["embed"])
+        for at, column in enumerate(np.ascontiguousarray(dx.T)):
+            d["embed"][:, at] = np.bincount(own, column, len(p["embed"]))
+        return float(loss), d
 
 
-class Adam:
-    """Adam over the model's parameters, with a linearly falling rate.
+def _folded(by_window: np.ndarray) -> np.ndarray:
+    """Sums by row of blocks of what overlapping windows hold."""
+    out = np.zeros((len(by_window) + 1, BLOCK, by_window.shape[2]), by_window.dtype)
+    out[:-1] = by_window[:, :BLOCK]
+    out[1:] += by_window[:, BLOCK:]
+    return out.reshape(-1, by_window.shape[2])
 
-    It falls with the steps done of ``steps``, or by what a step is told is left.
-    """
 
-    def __init__(self, model: Model, rate: float, steps: int = 0):
-        self.model, self.rate, self.steps, self.t = model, rate, steps, 0
+class Adam:
+    """Adam over the model's parameters, at a rate that falls with the steps done."""
+
+    def __init__(self, model: Model, rate: float = RATE, half: float = HALF):
+        self.model, self.rate, self.half, self.t = model, rate, half, 0
         self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
         self.s = {k: np.zeros_like(x) for k, x in model.p.items()}
 
-    def step(self, inputs: np.ndarray, targets: np.ndarray, left: float | None = None) -> float:
-        loss, d = self.model.gradient(inputs, targets)
+    def step(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> float:
+        loss, d = self.model.gradient(inputs, targets, weight)
         self.t += 1
-        left = 1 - self.t / (self.steps + 1) if left is None else left
-        rate = self.rate * max(0.05, left) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        rate = np.float32(self.rate / (1 + self.t / self.half) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, g in d.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.s[k] += 0.01 * (g * g - self.s[k])
-            self.model.p[k] -= (rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-7)).astype(np.float32)
+            m, s = self.m[k], self.s[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            s *= np.float32(0.99)
+            g *= g
+            s += np.float32(0.01) * g
+            x = np.sqrt(s)
+            x += np.float32(1e-7)
+            np.divide(m, x, out=x)
+            x *= rate
+            self.model.p[k] -= x
         return loss
+
+
+def trained(model: Model, texts: Iterator[tuple[np.ndarray, int]]) -> tuple[np.ndarray, int]:
+    """Parameters of a copy of ``model`` that saw all ``texts`` (symbols, times), and targets seen."""
+    own = Model(model.follows)
+    own.load(model.flat())
+    adam, seen, steps, times = Adam(own), 0, 0, {}
+    held: list[tuple] | None = []
+
+    def symbols() -> Iterator[np.ndarray]:
+        for i, (one, n) in enumerate(texts):
+            times[i] = n
+            yield one
+
+    def learn(inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> int:
+        for at in range(0, len(inputs) - 1, STEP):
+            part = slice(at, at + STEP + 1)
+            adam.step(inputs[part], targets[part], weight[part])
+        return -(-(len(inputs) - 1) // STEP)
+
+    for inputs, targets, owner in laid_out(symbols(), own.v.end, STEP):
+        weight = np.array([times[i] for i in owner], np.float32)
+        steps += learn(inputs, targets, weight)
+        seen += int((targets >= 0).sum())
+        for i in range(owner[0], owner[-1]):
+            times.pop(i, None)
+        if steps >= LEAST_STEPS:
+            held = None
+        elif held is not None:
+            held.append((inputs, targets, weight))
+    for _ in range(PASSES - 1):
+        if held and adam.t < LEAST_STEPS:
+            for part in held:
+                learn(*part)
+    return own.flat(), seen

@@ -6,48 +6,51 @@ shared folder. Subword counts follow from that table. Only the words above a
 count that at most ``FREQUENT`` words reach are sent to every task; a text's
 other words are joined with the table by a shuffle.
 
-Scoring: equal texts meet in a shuffle by their SHA-256 and are scored once, so
-that their scores are the same number; sums of floats would differ in the last
-digits by what else a batch holds.
+Equal texts meet in a shuffle by their SHA-256. What is left of a text is two
+bytes a subword, its base and its rarer words; the other passes read that table.
 
-Training: the attention model starts on the driver from about ``WARM_TEXTS``
-training texts. Then every partition trains a copy of it on all its training
-texts, at a rate that falls with the share of its bytes that it has seen, and the
-copies are averaged by symbols seen, summed by a shuffle. The model has a fixed
-size (``attention.SYMBOLS``).
+Training: how often a symbol follows another is counted over all training texts.
+Then the attention model learns from all of them too: texts are dealt to shards
+by hash, a shard's texts come in order of hash, and each shard trains a copy of
+the model on all its training texts, each as many times as it occurs. The mean of
+the copies is summed by a shuffle in integers, so the model doesn't depend on
+how rows lie in partitions. It has a fixed size (``attention.SYMBOLS``), and so
+have the pairs of symbols that are counted.
 
 Defined cases: a null text counts as empty and is scored as its end alone.
 Repeated rows count as often as they occur and get equal scores. Without
 training rows N and V are 0 and the model is untrained. A null id is not held
-out. Invalid UTF-8 is replaced before subwords are taken.
+out. Invalid UTF-8 is replaced before subwords are taken. A text of any length
+is read in pieces of about a megabyte.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyflow.llm import attention
-from storyflow.llm.arrowtext import slices, text_column
-from storyflow.shared import cut, table
+from storyflow.llm.arrowtext import grouped, pieces, slices, text_column
+from storyflow.shared import cut, drop, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 FREQUENT = 1 << 18
-WARM_TEXTS, WARM_BLOCKS, WARM_STEPS, WARM_RATE = 1500, 1 << 16, 1500, 0.03
-TUNE_RATE = 0.004
-STEP_BLOCKS = 64
-#: Blocks that are scored together, and that a trainer shuffles together.
-SCORE_BLOCKS, SHUFFLE_BLOCKS = 4096, 4096
+#: Subwords of a shard, and the least number of shards.
+SHARD, SHARDS = 2_000_000, 16
+#: Blocks that are scored together.
+SCORE_BLOCKS = 4096
+#: Pairs of symbols that a counting task holds before it sums them.
+PAIRS = 1 << 21
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 400_000
 
@@ -108,10 +111,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch.column(0)):
             for text in part.cast(pa.binary()).to_pylist():
-                held.update(words_of(text))
-            if len(held) > HELD_WORDS:
-                yield given()
-                held.clear()
+                for piece in pieces(text):
+                    held.update(words_of(piece))
+                    if len(held) > HELD_WORDS:
+                        yield given()
+                        held.clear()
     yield given()
 
 
@@ -150,69 +154,66 @@ def subword_counts(counts: DataFrame, subwords: Subwords) -> tuple[np.ndarray, n
     return seen["id"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)
 
 
-def _symbols(model: attention.Model, subwords: Subwords, texts: list[bytes | None]) -> list[np.ndarray]:
-    return [model.v.symbol[subwords.ids(words_of(t))] for t in texts]
-
-
-def warm_start(texts: DataFrame, rows: int, vocabulary: attention.Vocabulary, subwords: Subwords) -> attention.Model:
-    """A model trained on the driver on a bounded sample, by hash, of ``rows`` texts."""
-    model = attention.Model(vocabulary)
-    share = int(min(1.0, WARM_TEXTS / max(1, rows)) * (1 << 30))
-    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= share).limit(2 * WARM_TEXTS)
-    got = [r.text.encode() for r in picked.collect()]
-    if not got:
-        return model
-    inputs, targets, _ = attention.blocks(_symbols(model, subwords, sorted(got)), vocabulary.end)
-    random = np.random.default_rng(11)
-    order = random.permutation(len(inputs))[:WARM_BLOCKS]
-    steps = min(WARM_STEPS, 1 + 20 * len(order) // STEP_BLOCKS)
-    adam = attention.Adam(model, WARM_RATE, steps)
-    for s in range(steps):
-        pick = order[np.arange(s * STEP_BLOCKS, (s + 1) * STEP_BLOCKS) % len(order)]
-        adam.step(inputs[pick], targets[pick])
-    return model
+def follows(texts: DataFrame, v: attention.Vocabulary) -> attention.Follows:
+    """What follows what in a table with symbols and times, counted; a negative key is a cell's."""
+    size, end, classes, class_of = len(v.mass), np.array([v.end]), v.classes, v.class_of
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: tuple[np.ndarray, np.ndarray] | None = None
+        held, k = [], 0
 
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate([h[i] for h in held] + ([total[i]] if total else [])) for i in (0, 1))
+            keys, at = np.unique(keys, return_inverse=True)
+            return keys, np.bincount(at, n, len(keys)).astype(np.int64)
 
-def tune(texts: DataFrame, model: attention.Model, subwords: Subwords) -> attention.Model:
-    """The average of copies that every partition trains on its part of ``texts``."""
-    sizes = texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
-    held = texts.sparkSession.sparkContext.broadcast((model, {r.part: r.bytes for r in sizes.collect()}))
-
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, sizes = held.value
-        own = attention.Model(start.v)
-        own.load(start.flat())
-        adam, seen, done = attention.Adam(own, TUNE_RATE), 0, 0
-        total = sizes.get(TaskContext.get().partitionId(), 0)
-        random = np.random.default_rng(13)
-
-        def learn(parts: list[tuple], read: int) -> int:
-            inputs, targets = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            order = random.permutation(len(inputs))
-            for at in range(0, len(order), STEP_BLOCKS):
-                pick = order[at : at + STEP_BLOCKS]
-                adam.step(inputs[pick], targets[pick], 1 - (done + read * at / len(order)) / max(1, total))
-            return int((targets >= 0).sum())
-
-        waiting, rows, read = [], 0, 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                waiting.append(attention.blocks(_symbols(own, subwords, [text]), own.v.end)[:2])
-                rows, read = rows + len(waiting[-1][0]), read + len(text) + 1
-                if rows >= SHUFFLE_BLOCKS:
-                    seen += learn(waiting, read)
-                    done, waiting, rows, read = done + read, [], 0, 0
-        if waiting:
-            seen += learn(waiting, read)
-        if seen:
-            flat = own.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, seen))], names=["at", "x"])
-
-    sums = texts.mapInArrow(trained, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+            for raw, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.concatenate([end, end, np.frombuffer(raw, np.uint16), end])
+                group = class_of[own]
+                held.append((own[1:-1] * size + own[2:], np.full(len(own) - 2, times, np.int64)))
+                held.append((-1 - ((own[1:-1] * classes + group[:-2]) * classes + group[2:]), held[-1][1]))
+                k += len(own)
+                if k >= PAIRS:
+                    total, held, k = summed(), [], 0
+        if held:
+            total = summed()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["pair", "n"])
+
+    seen = texts.select("symbols", "times").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
+    keys, n = (seen.column(c).to_numpy() for c in ("pair", "n"))
+    at = np.searchsorted(keys, 0)
+    return attention.Follows(v, keys[at:], n[at:], -1 - keys[:at][::-1], n[:at][::-1])
+
+
+def train(texts: DataFrame, model: attention.Model, subwords: int) -> attention.Model:
+    """``model``, with the mean of the copies that each shard trains on all its texts.
+
+    ``texts`` has key, symbols and times; about ``subwords`` symbols.
+    """
+    shards = max(SHARDS, -(-subwords // SHARD))
+    held = texts.sparkSession.sparkContext.broadcast(model)
+    dealt = texts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "symbols", "times")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, total = held.value, None
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "symbols", "times"))))
+        for _, own in groupby(rows, lambda r: r[0]):
+            flat, seen = attention.trained(start, ((np.frombuffer(raw, np.uint16), times) for _, raw, times in own))
+            seen = round(seen / SHARD * 1024)
+            part = np.append(np.rint(flat.astype(np.float64) * attention.UNIT / 1024).astype(np.int64) * seen, seen)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "x"])
+
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "key")
+    sums = ordered.mapInArrow(learn, "at int, x bigint").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     if len(sums):
         flat = np.zeros(len(sums))
         flat[sums["at"]] = sums["x"]
-        model.load(flat[:-1] / flat[-1])
+        if flat[-1]:
+            model.load(flat[:-1] / flat[-1] * (1024 / attention.UNIT))
     return model
 
 
@@ -260,43 +261,59 @@ def spelled(ids: list[list[int]], vocabulary: attention.Vocabulary) -> tuple[np.
     return sizes, vocabulary.symbol[flat], share
 
 
-def _scored(spark: SparkSession, model: attention.Model, subwords: Subwords, known: dict[bytes, int], n: int, v: int) -> "callable":
-    """Column function: struct<words, known, base, score, rest>; rest are the words not in ``known``."""
-    shared = spark.sparkContext.broadcast((model, Frequent(known, np.log10(n + 0.5 * (v + 1)), subwords, model.v)))
-    names = ["words", "known", "base", "score", "rest"]
-
-    def score(texts: list[bytes | None]) -> pa.Array:
-        model, often = shared.value
-        lists = [words_of(t) for t in texts]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        owner = np.repeat(np.arange(len(lists)), counts)
-        place, met = often.of(list(chain.from_iterable(lists)))
-        rare = place >= len(often.words)
-        # base: frequent words here, the rest is joined with the table of words
-        base = np.bincount(owner, np.append(often.log, np.zeros(len(met)))[place], len(lists))
-        seen = np.bincount(owner[~rare], minlength=len(lists))
-        pairs, times = np.unique(owner[rare] * max(1, len(met)) + place[rare] - len(often.words), return_counts=True)
-        of, which = np.divmod(pairs, max(1, len(met)))
-        ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(lists)))).astype(np.int32)
-        words = pa.array(met, pa.binary()).take(pa.array(which))
-        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times.astype(np.int32))], names=["word", "times"]))
-        # model: every word's symbols one after another
-        more = spelled(subwords.each(met), model.v)
-        sizes, flat, share = (np.concatenate([a, b]) for a, b in zip((often.sizes, often.flat, often.share), more))
-        first, own = np.cumsum(sizes) - sizes, sizes[place]
-        stop = np.cumsum(own)
-        symbols = flat[np.arange(own.sum()) + np.repeat(first[place] - stop + own, own)]
-        total = np.bincount(owner, share[place], len(lists))
-        if lists:
-            cuts = np.append(0, stop)[np.cumsum(counts)[:-1]]
-            inputs, targets, row = attention.blocks(np.split(symbols, cuts), model.v.end)
-            tables = model.tables()
-            for at in range(0, len(inputs), SCORE_BLOCKS):
-                part = slice(at, at + SCORE_BLOCKS)
-                total += np.bincount(row[part], model.score(inputs[part], targets[part], tables).sum(1, dtype=np.float64), len(lists))
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(total / np.log(10)), rest], names=names)
-
-    return text_column(score, "struct<words:bigint,known:bigint,base:double,score:double,rest:array<struct<word:binary,times:int>>>")
+def _spelled(spark: SparkSession, v: attention.Vocabulary, subwords: Subwords, known: dict[bytes, int], n: int, kinds: int) -> "callable":
+    """Column function: struct<words, known, base, share, symbols, rest>; rest are the words not in ``known``."""
+    shared = spark.sparkContext.broadcast((v, Frequent(known, np.log10(n + 0.5 * (kinds + 1)), subwords, v)))
+    names = ["words", "known", "base", "share", "symbols", "rest"]
+
+    def spell(texts: list[bytes | None]) -> pa.Array:
+        v, often = shared.value
+        totals, symbols = np.zeros((4, len(texts))), [[] for _ in texts]
+        rest: list[Counter[bytes]] = [Counter() for _ in texts]
+        given = [(i, piece) for i, t in enumerate(texts) for piece in pieces(t)]
+        for part in grouped(given):
+            lists = [words_of(t) for _, t in part]
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            owner = np.repeat(np.array([i for i, _ in part], np.int64), counts)
+            place, met = often.of(list(chain.from_iterable(lists)))
+            rare = place >= len(often.words)
+            # base: frequent words here, the rest is joined with the table of words
+            totals[0] += np.bincount(owner, minlength=len(texts))
+            totals[1] += np.bincount(owner[~rare], minlength=len(texts))
+            totals[2] += np.bincount(owner, np.append(often.log, np.zeros(len(met)))[place], len(texts))
+            for i, at in zip(owner[rare].tolist(), (place[rare] - len(often.words)).tolist()):
+                rest[i][met[at]] += 1
+            # every word's symbols one after another
+            more = spelled(subwords.each(met), v)
+            sizes, flat, share = (np.concatenate([a, b]) for a, b in zip((often.sizes, often.flat, often.share), more))
+            first, own = np.cumsum(sizes) - sizes, sizes[place]
+            stop = np.cumsum(own)
+            found = flat[np.arange(own.sum()) + np.repeat(first[place] - stop + own, own)]
+            totals[3] += np.bincount(owner, share[place], len(texts))
+            for (i, _), one in zip(part, np.split(found, np.append(0, stop)[np.cumsum(counts)[:-1]])):
+                symbols[i].append(one.tobytes())
+        ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+        words = pa.array(list(chain.from_iterable(rest)), pa.binary())
+        times = pa.array(list(chain.from_iterable(r.values() for r in rest)), pa.int32())
+        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "times"]))
+        bits = pa.array([b"".join(x) for x in symbols], pa.binary())
+        return pa.StructArray.from_arrays([pa.array(totals[0].astype(np.int64)), pa.array(totals[1].astype(np.int64)), pa.array(totals[2]), pa.array(totals[3]), bits, rest], names=names)
+
+    return text_column(spell, "struct<words:bigint,known:bigint,base:double,share:double,symbols:binary,rest:array<struct<word:binary,times:int>>>")
+
+
+def _scored(spark: SparkSession, model: attention.Model) -> "callable":
+    """Column function: log10 probability of symbols."""
+    held = spark.sparkContext.broadcast(model)
+
+    def score(texts: list[bytes]) -> pa.Array:
+        model, total = held.value, np.zeros(len(texts))
+        tables = model.tables()
+        for inputs, targets, owner in attention.laid_out((np.frombuffer(t, np.uint16) for t in texts), model.v.end, SCORE_BLOCKS):
+            total += np.bincount(owner, model.score(inputs, targets, tables), len(texts))
+        return pa.array(total / np.log(10))
+
+    return text_column(score, "double")
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, most_frequent: int = FREQUENT) -> DataFrame:
@@ -307,22 +324,25 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     ends = learned.count()
     counts, _ = cut(word_counts(learned), "words")
     words, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n, v = total + ends, words + (ends > 0)
+    n, kinds = total + ends, words + (ends > 0)
     subwords = Subwords(spark, path)
-    vocabulary = attention.Vocabulary(*subword_counts(counts, subwords), ends, subwords.all_ids)
-    model = warm_start(learned, ends, vocabulary, subwords)
-    model = tune(learned, model, subwords)
+    seen = subword_counts(counts, subwords)
+    v = attention.Vocabulary(*seen, ends, subwords.all_ids)
     known = frequent(counts, most_frequent)
-    different = own.select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
-    marked = different.select("key", _scored(spark, model, subwords, known, n, v)(F.col("text")).alias("r"))
-    main, _ = cut(marked.select(F.monotonically_increasing_id().alias("row"), "key", "r.*"), "scores")
-    bottom = F.log10(F.lit(n + 0.5 * (v + 1)))
+    keyed = own.select(text_key(F.col("text")).alias("key"), "text", (~F.col("held_out")).cast("bigint").alias("times"))
+    different = keyed.groupBy("key").agg(F.any_value("text").alias("text"), F.sum("times").alias("times"))
+    main, spelled_path = cut(different.select("key", "times", _spelled(spark, v, subwords, known, n, kinds)(F.col("text")).alias("r")).select(F.monotonically_increasing_id().alias("row"), "key", "times", "r.*"), "spelled")
+    training = main.where("times > 0").select("key", "symbols", "times")
+    model = train(training, attention.Model(follows(training, v)), int(seen[1].sum()))
+    scored, _ = cut(main.select("row", "key", "words", "known", "base", (F.col("share") / math.log(10) + _scored(spark, model)(F.col("symbols"))).alias("score")), "scores")
+    bottom = F.log10(F.lit(n + 0.5 * (kinds + 1)))
     rare = main.select("row", F.inline("rest")).join(counts, "word", "left")
     found = F.col("n").isNotNull().cast("bigint") * F.col("times")
     value = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - bottom)
     sums = rare.groupBy(F.col("row").alias("of")).agg(F.sum(found).alias("more_known"), F.sum(value).alias("more_base"))
     end = F.log10(F.lit(ends + 0.5)) - bottom
-    joined = main.drop("rest").join(sums, F.col("row") == F.col("of"), "left")
+    joined, _ = cut(scored.join(sums, F.col("row") == F.col("of"), "left").select("key", "words", "known", "base", "score", "more_known", "more_base"), "sums")
+    drop(spark, spelled_path)
     return own.select("doc_id", "held_out", text_key(F.col("text")).alias("key")).join(joined, "key").select(
         "doc_id",
         "held_out",
