@@ -24,8 +24,8 @@ import numpy as np
 BLOCK, WIDTH, CLASSES = 16, 16, 64
 #: Ids that are symbols of their own.
 SYMBOLS = 4096
-#: Blocks of a training step, and of a scoring step whose arrays fit into a core's cache.
-STEP, CACHED = 256, 256
+#: Blocks of a training step; blocks whose arrays fit into a core's cache in training and in scoring.
+STEP, LEARNED, CACHED = 512, 128, 256
 #: Symbols of a text that are laid out together, a multiple of BLOCK.
 PIECE = 1 << 16
 #: A shard of fewer steps than these is passed over again, this often at most.
@@ -235,10 +235,27 @@ class Model:
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the classes per weighted target, and its gradient. ``weight`` is by block."""
-        p, d, scale = self.p, {}, np.float32(WIDTH**-0.5)
+        d = {name: np.zeros_like(x) for name, x in self.p.items()}
+        n = ((targets[1:] >= 0).sum(1) * weight[1:]).sum()
+        if not n:
+            return 0.0, d
+        dx, loss = np.zeros((inputs.size, WIDTH), self.p["embed"].dtype), 0.0
+        for lo in range(0, len(inputs) - 1, LEARNED):
+            part = slice(lo, lo + LEARNED + 1)
+            loss += self._add_gradient(inputs[part], targets[part], weight[part] / n, d, dx[lo * BLOCK : (lo + LEARNED + 1) * BLOCK])
+        own = inputs.ravel()
+        for at, column in enumerate(np.ascontiguousarray(dx.T)):
+            d["embed"][:, at] = np.bincount(own, column, len(d["embed"]))
+        return loss, d
+
+    def _add_gradient(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, d: dict[str, np.ndarray], dx: np.ndarray) -> float:
+        """Loss of some windows; adds to the gradient ``d``, and to ``dx`` by position."""
+        p, scale = self.p, np.float32(WIDTH**-0.5)
         own = inputs.ravel()
         x = p["embed"].take(own, 0)
-        q, k, v = x[BLOCK:] @ p["q"], x @ p["k"], x @ p["v"]
+        kv = np.concatenate([p["k"], p["v"]], axis=1)
+        q, both = x[BLOCK:] @ p["q"], x @ kv
+        k, v = both[:, :WIDTH], both[:, WIDTH:]
         q *= scale
         q = q.reshape(-1, BLOCK, WIDTH)
         a = np.matmul(q, _windows(k).transpose(0, 2, 1))
@@ -258,38 +275,36 @@ class Model:
         group = self.v.class_of[goal[there]]
         counted = np.zeros(len(goal), p["out"].dtype)
         counted[there] = np.repeat(weight[1:], BLOCK)[there]
-        n = counted.sum()
-        if not n:
-            return 0.0, {name: np.zeros_like(y) for name, y in p.items()}
-        counted /= n
         loss = -(counted[there] * (np.log(logit[there, group]) - np.log(total[there]))).sum()
         logit *= (counted / total)[:, None]
         logit[there, group] -= counted[there]
-        d["out"] = flat.T @ logit
+        d["out"] += flat.T @ logit
         dh = (logit @ p["out"].T).reshape(h.shape)
         da = np.matmul(dh, _windows(v).transpose(0, 2, 1))
         da -= np.einsum("rij,rij->ri", dh, h)[..., None]
         da *= a
-        dv, dk = _folded(np.matmul(a.transpose(0, 2, 1), dh)), _folded(np.matmul(da.transpose(0, 2, 1), q))
+        both = _folded(np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh))
         dq = np.matmul(da, _windows(k)).reshape(-1, WIDTH)
         dq *= scale
-        d["ago"] = np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO < 0, 0, da.sum(0)).ravel(), 2 * BLOCK).astype(p["ago"].dtype)
-        d["q"], d["k"], d["v"] = x[BLOCK:].T @ dq, x.T @ dk, x.T @ dv
-        dx = dk @ p["k"].T
-        dx += dv @ p["v"].T
+        d["ago"] += np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO < 0, 0, da.sum(0)).ravel(), 2 * BLOCK).astype(p["ago"].dtype)
+        d["q"] += x[BLOCK:].T @ dq
+        by_row = x.T @ both
+        d["k"] += by_row[:, :WIDTH]
+        d["v"] += by_row[:, WIDTH:]
+        dx += both @ kv.T
         dx[BLOCK:] += dq @ p["q"].T
-        d["embed"] = np.empty_like(p["embed"])
-        for at, column in enumerate(np.ascontiguousarray(dx.T)):
-            d["embed"][:, at] = np.bincount(own, column, len(p["embed"]))
-        return float(loss), d
+        return float(loss)
 
 
-def _folded(by_window: np.ndarray) -> np.ndarray:
-    """Sums by row of blocks of what overlapping windows hold."""
-    out = np.zeros((len(by_window) + 1, BLOCK, by_window.shape[2]), by_window.dtype)
-    out[:-1] = by_window[:, :BLOCK]
-    out[1:] += by_window[:, BLOCK:]
-    return out.reshape(-1, by_window.shape[2])
+def _folded(*by_window: np.ndarray) -> np.ndarray:
+    """Sums by row of blocks of what overlapping windows hold, side by side."""
+    n, _, width = by_window[0].shape
+    out = np.zeros((n + 1, BLOCK, width * len(by_window)), by_window[0].dtype)
+    for at, x in enumerate(by_window):
+        part = out[..., at * width : (at + 1) * width]
+        part[:-1] = x[:, :BLOCK]
+        part[1:] += x[:, BLOCK:]
+    return out.reshape((n + 1) * BLOCK, -1)
 
 
 class Adam:
@@ -332,10 +347,12 @@ def trained(model: Model, texts: Iterator[tuple[np.ndarray, int]]) -> tuple[np.n
             yield one
 
     def learn(inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> int:
-        for at in range(0, len(inputs) - 1, STEP):
-            part = slice(at, at + STEP + 1)
+        rows = len(inputs) - 1
+        size = -(-rows // max(1, round(rows / STEP)))
+        for at in range(0, rows, size):
+            part = slice(at, at + size + 1)
             adam.step(inputs[part], targets[part], weight[part])
-        return -(-(len(inputs) - 1) // STEP)
+        return -(-rows // size)
 
     for inputs, targets, owner in laid_out(symbols(), own.v.end, STEP):
         weight = np.array([times[i] for i in owner], np.float32)

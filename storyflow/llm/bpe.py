@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -71,7 +73,9 @@ class PerfectHash:
         return ((h >> 20) ^ (d * 0x9E3779B97F4A7C15 + (h >> 40) * d & 0xFFFFFFFFFFFFFFFF)) % self.n
 
     def slot(self, key: bytes) -> int:
-        """The only key that ``key`` can be, by its place in ``keys``."""
+        """The only key that ``key`` can be, by its place in ``keys``; below zero if there are none."""
+        if not self.n:
+            return -1
         h = xxhash.xxh64_intdigest(key)
         d = self.shift[h % self.buckets]
         return self.slots[-1 - d if d < 0 else self._place(h, d)]
@@ -151,20 +155,23 @@ class Tokenizer:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_own: dict[object, Tokenizer] = {}
+_own: dict[tuple[str, str], Tokenizer] = {}
 
 
 def _tokenizer(held) -> Tokenizer:
-    """This worker's tokenizer for a broadcast (vocabulary, pattern)."""
-    key = getattr(held, "_jbroadcast_id", None) or (len(held.value[0].ids), held.value[1], hash(held.value[0].keys[-1]))
-    if key not in _own:
+    """This worker's tokenizer for a broadcast (vocabulary, pattern, digest of the vocabulary's file)."""
+    vocabulary, pattern, digest = held.value
+    if (digest, pattern) not in _own:
         _own.clear()
-        _own[key] = Tokenizer(*held.value)
-    return _own[key]
+        _own[digest, pattern] = Tokenizer(vocabulary, pattern)
+    return _own[digest, pattern]
 
 
 def _shared(spark: SparkSession, path: str | None, pattern: str | None):
-    return spark.sparkContext.broadcast((Vocabulary.load(path or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN))
+    path = path or public_tokenizers.path(VOCABULARY)
+    with open(path, "rb") as file:
+        digest = hashlib.sha256(file.read()).hexdigest()
+    return spark.sparkContext.broadcast((Vocabulary.load(path), pattern or public_tokenizers.PATTERN, digest))
 
 
 def encoder(spark: SparkSession, path: str | None = None, pattern: str | None = None) -> "callable":
@@ -177,19 +184,27 @@ def encoder(spark: SparkSession, path: str | None = None, pattern: str | None =
     return text_column(encoded, "array<int>")
 
 
-def digests(spark: SparkSession, path: str | None = None, pattern: str | None = None) -> "callable":
-    """Column function: text to struct<n_tokens, ids_sha256, decoded_sha256>."""
+def digests(spark: SparkSession, path: str | None = None, pattern: str | None = None, ids: bool = False) -> "callable":
+    """Column function: text to struct<n_tokens, ids_sha256, decoded_sha256>, with the ids too if wanted."""
     held = _shared(spark, path, pattern)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
+    kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids
 
     def digested(texts: list[bytes | None]) -> pa.Array:
         own, rows = _tokenizer(held), []
         for text in texts:
-            ids = own.encode(text or b"")
-            rows.append((len(ids), hashlib.sha256(b" ".join(map(own.names.__getitem__, ids))).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-        columns = zip(*rows) if rows else [()] * 3
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))], names=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return text_column(digested, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+            found = own.encode(text or b"")
+            row = (len(found), hashlib.sha256(b" ".join(map(own.names.__getitem__, found))).hexdigest(), hashlib.sha256(own.decode(found)).hexdigest())
+            rows.append((*row, array("i", found)) if ids else row)
+        columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in names]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds[:3])]
+        if ids:
+            ends = np.cumsum([0, *map(len, columns[3])], dtype=np.int64).astype(np.int32)
+            flat = np.concatenate([np.frombuffer(c, np.int32) for c in columns[3]] or [np.zeros(0, np.int32)])
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        return pa.StructArray.from_arrays(arrays, names=names)
+
+    return text_column(digested, f"struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string{',ids:array<int>' * ids}>")
 
 
 def decoder(spark: SparkSession, path: str | None = None) -> "callable":

@@ -3,7 +3,9 @@
 A log row is (conv_id, msg, seq, kind, role, text). Logs are partitioned by
 conversation and sorted by (msg, seq); one pass folds them into messages:
 ``open`` begins a message with its role, ``delta`` appends text, ``edit``
-replaces what is there, ``regenerate`` drops it. Rendering writes a segment per
+replaces what is there, ``regenerate`` drops it. An event that was delivered
+again, with equal values in all columns, counts once. Different events with one
+seq are folded by kind (open, regenerate, edit, delta), role, then text. Rendering writes a segment per
 message, so neither a long conversation nor its formatted text is ever held
 whole; a conversation's output is its segments in order.
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from storyflow.shared import table
 
+#: Kinds of events, in the order in which those of one seq are folded.
+KINDS = ("open", "regenerate", "edit", "delta")
 TURN, END = "<|turn|>", "<|end|>\n"
 #: Rows and bytes that a task gathers before it hands them on.
 ROWS, BYTES = 2000, 4 << 20
@@ -81,8 +85,10 @@ _SEGMENTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("segment"
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def messages() -> Iterator[tuple]:
-        key, role, parts = None, "", []
-        for conv, msg, _, kind, who, text in _rows(batches):
+        key, role, parts, before = None, "", [], None
+        for conv, msg, seq, _, kind, who, text in _rows(batches):
+            if before == (before := (conv, msg, seq, kind, who, text)):
+                continue
             if key != (conv, msg):
                 if key:
                     yield (*key, *render(role, "".join(parts)))
@@ -105,8 +111,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def reconstruct(events: DataFrame) -> DataFrame:
     """Log to segments: conv_id, part, segment, loss_start, loss_end."""
-    log = events.select("conv_id", "msg", "seq", "kind", "role", "text")
-    ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "msg", "seq")
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    log = events.select("conv_id", "msg", "seq", place.alias("place"), "kind", "role", "text")
+    ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "msg", "seq", "place", "kind", "role", "text")
     return ordered.mapInArrow(_fold, "conv_id bigint, part bigint, segment string, loss_start bigint, loss_end bigint")
 
 
@@ -164,6 +171,18 @@ def to_events(rows: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "msg", F.explode(log).alias("e")).select("conv_id", "msg", "e.*")
 
 
+_SQL_ESCAPED = r"replace(replace(replace({}, '\', '\e'), '<', '\l'), '[', '\b')"
+SQL = f"""
+with rows_ as (select conv_id::bigint as conv_id, turn::bigint as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum({len(TURN) + 1 + len(END)} + length(replace({_SQL_ESCAPED.format("role")}, chr(10), '\\n')) + length({_SQL_ESCAPED.format("text")}))::bigint as formatted_chars
+from rows_ group by conv_id
+"""
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     said = "</s>[INST] ok [/INST]"

@@ -2,10 +2,10 @@
 
 Both sides lower-case A-Z and take words of digits, a-z and code points above
 0x7F. The windows of all items (``size`` words, or a shorter item's all) form a
-set of 64-bit hashes. Where their number has been checked to be at most
-``MAX_WINDOWS``, the set is part of each task and a row's windows are looked up
-in place; beyond it, all windows of the texts are joined with the set by a
-shuffle. A hit is verified by comparing the words themselves.
+set of 64-bit hashes, which is broadcast where its size has been counted to be at
+most ``MAX_WINDOWS``: each text's window hashes are looked up where the text is.
+A larger set meets those hashes, eight bytes each, in a shuffled join. A hit is
+verified by comparing the words themselves.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no window. Repeated rows stay rows, each with its own result. Equal
@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyflow.llm.names import unused
-from storyflow.shared import table
+from storyflow.shared import cut, table
 
 SIZE = 10
-#: Pairs of window and item up to which their hashes, 8 bytes each, go to every task.
-MAX_WINDOWS = 200_000
-#: Bytes of windows and item ids, with repeats, that may be broadcast.
+#: Window hashes that may be broadcast: 16 bytes each, 64 MB.
+MAX_WINDOWS = 4_000_000
+#: Bytes of windows with their item ids that may be broadcast for verifying.
 MAX_BYTES = 64 << 20
+#: Digests of texts that may be broadcast when rows are dropped, 32 bytes each.
+MAX_TEXTS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -46,18 +48,18 @@ def windows(items: DataFrame, item_id: str, text: str, size: int = SIZE) -> Data
     return own.where("size(w) > 0").select("item", n.alias("n"), F.explode(gram).alias("gram")).distinct()
 
 
-def _hits(sizes: list[int], known: dict[int, list[int]] | None) -> Column:
-    """array<struct<at, n, gram>> of the windows of the words in column ``w``.
+def window_hash(hashes: Column, n: Column) -> Column:
+    """Hash of a window by the hashes of its words."""
+    return F.xxhash64(n, hashes)
 
-    Only those whose hash is in ``known``, if given: a set inside the plan.
-    """
-    parts = ["cast(array() as array<struct<at:int,n:int,gram:string>>)"]
+
+def _window_hashes(sizes: list[int]) -> Column:
+    """array<struct<at, n, h>> of all windows of the word hashes in column ``hs``."""
+    parts = ["cast(array() as array<struct<at:int,n:int,h:bigint>>)"]
     for n in sizes:
-        starts = f"if(size(w) >= {n}, sequence(0, size(w) - {n}), cast(array() as array<int>))"
-        if known is not None:
-            starts = f"filter({starts}, i -> xxhash64(slice(w, i + 1, {n})) in ({', '.join(f'{h}L' if h > -(1 << 63) else 'bigint(-9223372036854775808)' for h in known[n])}))"
-        parts.append(f"transform({starts}, i -> named_struct('at', i, 'n', {n}, 'gram', array_join(slice(w, i + 1, {n}), ' ')))")
-    return F.expr(f"concat({', '.join(parts)})")
+        starts = f"if(size(hs) >= {n}, sequence(0, size(hs) - {n}), cast(array() as array<int>))"
+        parts.append(f"transform({starts}, i -> named_struct('at', i, 'n', {n}, 'h', xxhash64({n}, slice(hs, i + 1, {n}))))")
+    return F.expr(parts[1] if len(parts) == 2 else f"concat({', '.join(parts)})")
 
 
 def covered(spans: Column) -> Column:
@@ -77,39 +79,59 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     ``key`` is the text's SHA-256, null for a null text; equal texts have equal
     results. ``spans`` are the verified windows as struct<at, n> in words.
     """
-    grams = windows(items, item_id, item_text, size)
-    owners = grams.groupBy("n", "gram").agg(F.collect_set("item").alias("item"))
-    pairs, weight = grams.agg(F.count("*"), F.sum(F.octet_length("gram") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()
-    small = pairs <= max_windows and (weight or 0) <= MAX_BYTES
-    split = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.col(text), 256).alias("key"), words(F.col(text)).alias("w"))
-    base = split.select("doc_id", "key", "w", F.size("w").cast("bigint").alias("n_words"))
-    span = F.when(F.col("item").isNotNull(), F.struct("at", "n"))
-    found = [F.collect_set(span).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item"))).alias("items")]
-    if small:
-        known: dict[int, list[int]] = {}
-        for r in grams.select("n", F.xxhash64(F.split("gram", " ")).alias("h")).distinct().collect():
-            known.setdefault(r.n, []).append(r.h)
-        looked = base.select("doc_id", "key", "n_words", _hits(sorted(known), known).alias("hits"))
-        flat = looked.select("doc_id", "key", "n_words", F.posexplode_outer("hits").alias("place", "hit"))
-        # equal rows meet in one group; the first window of each counts it
-        flat = flat.select("doc_id", "key", "n_words", F.coalesce(F.col("place") == 0, F.lit(True)).cast("int").alias("one"), "hit.at", "hit.n", "hit.gram")
-        rows = flat.join(F.broadcast(owners), ["n", "gram"], "left").groupBy("doc_id", "key", "n_words").agg(F.sum("one").cast("int").alias("copies"), *found)
-        rows = rows.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    owners, _ = cut(windows(items, item_id, item_text, size).groupBy("n", "gram").agg(F.collect_set("item").alias("item")), "windows")
+    sizes = [r.n for r in owners.groupBy("n").count().collect()]  # at most ``size`` of them
+    known = owners.select(window_hash(F.transform(F.split("gram", " "), lambda x: F.xxhash64(x)), F.col("n")).alias("h")).distinct()
+    many, weight = owners.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram") + 8 + F.aggregate("item", F.lit(0), lambda n, i: n + F.octet_length(i) + 8)), F.lit(0))).first()
+    by_hand = F.broadcast if weight <= MAX_BYTES else (lambda df: df)
+    ids = [F.col(doc_id).alias("doc_id"), F.sha2(F.col(text), 256).alias("key")]
+    split = docs.select(*ids, words(F.col(text)).alias("w"))
+    gram = F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("gram")
+    hashed = split.select("doc_id", "key", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("hs"))
+    if many <= max_windows:
+        hits = hashed.select("doc_id", "key", "w", F.inline(_window_hashes(sorted(sizes)))).join(F.broadcast(known), "h", "left_semi").select("doc_id", "key", "at", "n", gram)
     else:
-        sizes = [r.n for r in grams.select("n").distinct().orderBy("n").collect()]
-        hits = base.select("doc_id", "key", F.inline(_hits(sizes, None))).join(owners, ["n", "gram"]).groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(*found)
-        rows = base.drop("w").join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("key").eqNullSafe(F.col("of")), "left")
+        spread = hashed.select("doc_id", "key", F.inline(_window_hashes(sorted(sizes)))).join(known, "h", "left_semi")
+        at = spread.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(F.collect_set(F.struct("at", "n")).alias("at"))
+        hits = split.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("key").eqNullSafe(F.col("of"))).select("doc_id", "key", "w", F.inline("at")).select("doc_id", "key", "at", "n", gram)
+    spans, found = F.collect_set(F.struct("at", "n")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item"))).alias("items")
+    hits = hits.join(by_hand(owners), ["n", "gram"]).groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(spans, found)
+    base = docs.select(*ids, F.size(words(F.col(text))).cast("bigint").alias("n_words"))
+    rows = base.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("key").eqNullSafe(F.col("of")), "left")
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,n:int>>)"))
     return rows.select("doc_id", "key", "n_words", spans.alias("spans"), covered(spans).alias("n_hit"), F.array_sort(F.coalesce("items", F.expr("cast(array() as array<string>)"))).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a window of an item."""
+    """``docs`` without the rows whose text holds a window of an item.
+
+    Digests of such texts are broadcast, where they are counted to be at most
+    ``MAX_TEXTS``, so that the texts themselves stay where they are.
+    """
     key = unused(docs, "key")
-    hit = contamination(docs, items, doc_id, text, item_id, item_text).where("n_hit > 0").select(F.col("key").alias(key)).distinct()
-    return docs.join(hit, F.sha2(F.col(text), 256) == F.col(key), "left_anti")
+    hit, _ = cut(contamination(docs, items, doc_id, text, item_id, item_text).where("n_hit > 0").select(F.unhex("key").alias(key)).distinct(), "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= MAX_TEXTS else hit
+    return docs.join(hit, F.unhex(F.sha2(F.col(text), 256)) == F.col(key), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _sql_words(name: str, key: str) -> str:
+    return rf"""(select {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {name})"""
+
+
+SQL = f"""
+with d as {_sql_words("documents", "doc_id")}, b as {_sql_words("benchmark", "item_id")},
+s as (select *, least(len(w), {SIZE}) as n from b where len(w) > 0),
+item_windows as (select distinct item_id::varchar as item, n, array_to_string(w[i : i + n - 1], ' ') as gram from s, unnest(range(1, len(w) - n + 2)) as t(i)),
+text_windows as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as gram from d, (select distinct n from item_windows), unnest(range(1, len(w) - n + 2)) as t(i)),
+hits as (select distinct doc_id, n, i, item from text_windows join item_windows using (n, gram)),
+places as (select doc_id, count(distinct p) as n_hit from hits, unnest(range(i, i + n)) as t(p) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join places on d.doc_id = places.doc_id left join items on d.doc_id = items.doc_id
+"""

@@ -36,6 +36,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +44,14 @@ from storyflow.llm import attention
 from storyflow.llm.arrowtext import grouped, pieces, slices, text_column
 from storyflow.shared import cut, drop, table
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FREQUENT = 1 << 18
 #: Subwords of a shard, and the least number of shards.
 SHARD, SHARDS = 2_000_000, 16
 #: Blocks that are scored together.
 SCORE_BLOCKS = 4096
 #: Pairs of symbols that a counting task holds before it sums them.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 400_000
 
@@ -86,6 +87,8 @@ class Subwords:
     def __init__(self, spark: SparkSession, path: str | None = None):
         ranks = _ranks(path)
         self.all_ids = max(ranks.values()) + 1
+        self.opens = np.zeros(self.all_ids, bool)
+        self.opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.held = spark.sparkContext.broadcast(ranks)
         self.name = path or VOCABULARY
 
@@ -94,12 +97,15 @@ class Subwords:
             _own[self.name] = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.held.value, special_tokens={})
         return _own[self.name]
 
-    def each(self, words: list[bytes]) -> list[list[int]]:
-        encode = self.encoding().encode_ordinary
-        return [encode(" " + w.decode("utf-8", "replace")) for w in words]
+    def each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids one after another, and how many each word has.
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.asarray(self.encoding().encode_to_numpy(" " + b" ".join(words).decode("utf-8", "replace"))) if words else np.zeros(0, np.uint32)
+        Only a word's first id begins with the space before it.
+        """
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat = np.asarray(self.encoding().encode_to_numpy(" " + b" ".join(words).decode("utf-8", "replace"))).astype(np.int64)
+        return flat, np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +116,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in slices(batch.column(0)):
-            for text in part.cast(pa.binary()).to_pylist():
-                for piece in pieces(text):
-                    held.update(words_of(piece))
-                    if len(held) > HELD_WORDS:
-                        yield given()
-                        held.clear()
+            given_texts = [(0, p) for text in part.cast(pa.binary()).to_pylist() for p in pieces(text)]
+            for group in grouped(given_texts):
+                seen = pa.array(list(chain.from_iterable(words_of(p) for _, p in group)), pa.binary()).value_counts()
+                for word, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
+                    held[word] += n
+                if len(held) > HELD_WORDS:
+                    yield given()
+                    held.clear()
     yield given()
 
 
@@ -143,9 +151,7 @@ def subword_counts(counts: DataFrame, subwords: Subwords) -> tuple[np.ndarray, n
         total = np.zeros(subwords.all_ids, np.int64)
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            ids = subwords.each(words)
-            sizes = list(map(len, ids))
-            found = np.fromiter(chain.from_iterable(ids), np.int64, sum(sizes))
+            found, sizes = subwords.each(words)
             total += np.bincount(found, np.repeat(n, sizes), subwords.all_ids).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
@@ -159,26 +165,34 @@ def follows(texts: DataFrame, v: attention.Vocabulary) -> attention.Follows:
     size, end, classes, class_of = len(v.mass), np.array([v.end]), v.classes, v.class_of
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: tuple[np.ndarray, np.ndarray] | None = None
-        held, k = [], 0
+        total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        once, often, k = [], [total], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = (np.concatenate([h[i] for h in held] + ([total[i]] if total else [])) for i in (0, 1))
-            keys, at = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+            keys = np.sort(np.concatenate(once)) if once else total[0][:0]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+            parts = [(keys[first], np.diff(np.append(first, len(keys)))), *often, total]
+            keys, n = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+            return keys[first], np.add.reduceat(n, first) if len(first) else n
 
         for batch in batches:
             for raw, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.concatenate([end, end, np.frombuffer(raw, np.uint16), end])
                 group = class_of[own]
-                held.append((own[1:-1] * size + own[2:], np.full(len(own) - 2, times, np.int64)))
-                held.append((-1 - ((own[1:-1] * classes + group[:-2]) * classes + group[2:]), held[-1][1]))
+                for keys in (own[1:-1] * size + own[2:], -1 - ((own[1:-1] * classes + group[:-2]) * classes + group[2:])):
+                    if times == 1:
+                        once.append(keys)
+                    else:
+                        often.append((keys, np.full(len(keys), times)))
                 k += len(own)
                 if k >= PAIRS:
-                    total, held, k = summed(), [], 0
-        if held:
-            total = summed()
-        if total:
+                    total = summed()
+                    once, often, k = [], [], 0
+        total = summed()
+        if len(total[0]):
             yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["pair", "n"])
 
     seen = texts.select("symbols", "times").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
@@ -187,17 +201,16 @@ def follows(texts: DataFrame, v: attention.Vocabulary) -> attention.Follows:
     return attention.Follows(v, keys[at:], n[at:], -1 - keys[:at][::-1], n[:at][::-1])
 
 
-def train(texts: DataFrame, model: attention.Model, subwords: int) -> attention.Model:
-    """``model``, with the mean of the copies that each shard trains on all its texts.
+def train(texts: DataFrame, counted: Broadcast, subwords: int) -> np.ndarray:
+    """Parameters of the model: the mean of the copies that each shard trains on all its texts.
 
-    ``texts`` has key, symbols and times; about ``subwords`` symbols.
+    ``texts`` has key, symbols and times; about ``subwords`` symbols. ``counted`` is :func:`follows`, broadcast.
     """
     shards = max(SHARDS, -(-subwords // SHARD))
-    held = texts.sparkSession.sparkContext.broadcast(model)
     dealt = texts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "symbols", "times")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, total = held.value, None
+        start, total = attention.Model(counted.value), None
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "symbols", "times"))))
         for _, own in groupby(rows, lambda r: r[0]):
             flat, seen = attention.trained(start, ((np.frombuffer(raw, np.uint16), times) for _, raw, times in own))
@@ -209,33 +222,9 @@ def train(texts: DataFrame, model: attention.Model, subwords: int) -> attention.
 
     ordered = dealt.repartition("shard").sortWithinPartitions("shard", "key")
     sums = ordered.mapInArrow(learn, "at int, x bigint").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-    if len(sums):
-        flat = np.zeros(len(sums))
-        flat[sums["at"]] = sums["x"]
-        if flat[-1]:
-            model.load(flat[:-1] / flat[-1] * (1024 / attention.UNIT))
-    return model
-
-
-class _Places(dict):
-    """Index of each known word; words met besides get the next ones until forgotten."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words))))
-        self.known, self.met = len(words), []
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = self.known + len(self.met)
-        self.met.append(word)
-        return place
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Indexes of words, and the words met besides, in the order of theirs."""
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        met, self.met = self.met, []
-        for word in met:
-            del self[word]
-        return places, met
+    flat = np.zeros(len(sums))
+    flat[sums["at"]] = sums["x"]
+    return flat[:-1] / flat[-1] * (1024 / attention.UNIT) if len(flat) and flat[-1] else attention.Model(counted.value).flat()
 
 
 class Frequent:
@@ -244,20 +233,25 @@ class Frequent:
     def __init__(self, counts: dict[bytes, int], bottom: float, subwords: Subwords, vocabulary: attention.Vocabulary):
         self.words = list(counts)
         self.log = np.log10(np.fromiter(counts.values(), float, len(counts)) + 0.5) - bottom
-        self.sizes, self.flat, self.share = spelled(subwords.each(self.words), vocabulary)
-        self.places: _Places | None = None
+        self.sizes, self.flat, self.share = spelled(*subwords.each(self.words), vocabulary)
+        self.places: dict[bytes, int] | None = None
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Indexes of words, and the words met besides, in the order of theirs."""
         if self.places is None:
-            self.places = _Places(self.words)
-        return self.places.of(words)
+            self.places = dict(zip(self.words, range(len(self.words))))
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        kinds, met = coded.dictionary.to_pylist(), []
+        place = np.fromiter((self.places.get(w, -1) for w in kinds), np.int64, len(kinds))
+        for at in np.flatnonzero(place < 0):
+            place[at] = len(self.words) + len(met)
+            met.append(kinds[at])
+        return place[coded.indices.to_numpy()], met
 
 
-def spelled(ids: list[list[int]], vocabulary: attention.Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spelled(flat: np.ndarray, sizes: np.ndarray, vocabulary: attention.Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of words by their ids: number of symbols, all symbols, log-share of rare ids."""
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())
-    share = np.bincount(np.repeat(np.arange(len(ids)), sizes), vocabulary.share[flat], len(ids))
+    share = np.bincount(np.repeat(np.arange(len(sizes)), sizes), vocabulary.share[flat], len(sizes))
     return sizes, vocabulary.symbol[flat], share
 
 
@@ -284,7 +278,7 @@ def _spelled(spark: SparkSession, v: attention.Vocabulary, subwords: Subwords, k
             for i, at in zip(owner[rare].tolist(), (place[rare] - len(often.words)).tolist()):
                 rest[i][met[at]] += 1
             # every word's symbols one after another
-            more = spelled(subwords.each(met), v)
+            more = spelled(*subwords.each(met), v)
             sizes, flat, share = (np.concatenate([a, b]) for a, b in zip((often.sizes, often.flat, often.share), more))
             first, own = np.cumsum(sizes) - sizes, sizes[place]
             stop = np.cumsum(own)
@@ -302,12 +296,13 @@ def _spelled(spark: SparkSession, v: attention.Vocabulary, subwords: Subwords, k
     return text_column(spell, "struct<words:bigint,known:bigint,base:double,share:double,symbols:binary,rest:array<struct<word:binary,times:int>>>")
 
 
-def _scored(spark: SparkSession, model: attention.Model) -> "callable":
+def _scored(spark: SparkSession, counted: Broadcast, parameters: np.ndarray) -> "callable":
     """Column function: log10 probability of symbols."""
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(parameters)
 
     def score(texts: list[bytes]) -> pa.Array:
-        model, total = held.value, np.zeros(len(texts))
+        model, total = attention.Model(counted.value), np.zeros(len(texts))
+        model.load(held.value)
         tables = model.tables()
         for inputs, targets, owner in attention.laid_out((np.frombuffer(t, np.uint16) for t in texts), model.v.end, SCORE_BLOCKS):
             total += np.bincount(owner, model.score(inputs, targets, tables), len(texts))
@@ -333,8 +328,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     different = keyed.groupBy("key").agg(F.any_value("text").alias("text"), F.sum("times").alias("times"))
     main, spelled_path = cut(different.select("key", "times", _spelled(spark, v, subwords, known, n, kinds)(F.col("text")).alias("r")).select(F.monotonically_increasing_id().alias("row"), "key", "times", "r.*"), "spelled")
     training = main.where("times > 0").select("key", "symbols", "times")
-    model = train(training, attention.Model(follows(training, v)), int(seen[1].sum()))
-    scored, _ = cut(main.select("row", "key", "words", "known", "base", (F.col("share") / math.log(10) + _scored(spark, model)(F.col("symbols"))).alias("score")), "scores")
+    counted = spark.sparkContext.broadcast(follows(training, v))
+    parameters = train(training, counted, int(seen[1].sum()))
+    scored, _ = cut(main.select("row", "key", "words", "known", "base", (F.col("share") / math.log(10) + _scored(spark, counted, parameters)(F.col("symbols"))).alias("score")), "scores")
     bottom = F.log10(F.lit(n + 0.5 * (kinds + 1)))
     rare = main.select("row", F.inline("rest")).join(counts, "word", "left")
     found = F.col("n").isNotNull().cast("bigint") * F.col("times")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from storyflow.llm.audio import op2_media
 from storyflow.llm.bpe import op7_bpe
+from storyflow.llm.chat import SQL as CHAT_SQL
 from storyflow.llm.chat import op8_chat
+from storyflow.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from storyflow.llm.decontaminate import op4_decontaminate
 from storyflow.llm.langid import op3_langid
 from storyflow.llm.lmscore import op5_lm
@@ -27,4 +29,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {"op6_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE_SQL, "op6_warc": WARC_SQL, "op8_chat": CHAT_SQL}

@@ -1,16 +1,22 @@
 """WARC records and a Merkle fixity audit of two replicas of an archive.
 
-Pages become WARC records, archives of ``RECORDS`` page ids each, in the order
-of page id and digest with their byte offsets. A leaf hashes a record's offset,
-length and digest; a node hashes ``FAN`` consecutive children, and so an ordered
-range of offsets. Only digests are shuffled. An audit compares the roots of two
-replicas and joins, level by level, just the children of nodes that differ.
-
-Defined cases: null urls and bodies are empty; pages without an id go to one of
-``NULL_ARCHIVES`` archives with negative numbers, by digest. Repeated rows are
-records of their own. A record that only one replica has at its place is
-``missing`` or ``extra``, one that differs there ``changed``. Empty tables have
-no roots and no differences.
+Pages become WARC records; an archive holds them in the order of page id. A leaf
+is a page id with all its records: their number, their bytes, and a multiset
+hash of their digests (chunks of SHA-256 combined by xor), so that leaves are
+aggregates with a partial step and one id may hold any share of the rows. A node
+hashes its children's places, lengths and hashes in order, and so an ordered
+range of offsets. One root stands for a replica. An audit compares the roots and
+joins, level by level, just the children of nodes that differ; on the way down
+the lengths of the children before give a leaf's offset in each replica.
+
+As leaves stand at their page id, a lost record is one missing leaf. Records
+behind it have other offsets, but they are intact and aren't reported.
+
+Defined cases: null urls and bodies are empty; pages without an id share
+``NULL_LEAVES`` leaves with negative numbers, by digest, before all others.
+Repeated rows are records of their own. A leaf that only one replica has is
+``missing`` or ``extra``, one that differs ``changed``; ``digest`` is the least of
+its records' digests. Empty tables have no roots and no differences.
 """
 
 from __future__ import annotations
@@ -20,7 +26,9 @@ from pyspark.sql import functions as F
 
 from storyflow.shared import cut, table
 
-RECORDS, FAN, NULL_ARCHIVES = 512, 16, 1024
+FAN, NULL_LEAVES = 16, 1024
+#: Hexadecimal digits of each of the four numbers that a digest is cut into.
+DIGITS = 15
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -32,51 +40,84 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Columns page_id, record."""
-    return pages.select(F.col(page_id).alias("page_id"), record(F.col(page_id), F.col(url), F.col(html)).alias("record"))
+    return pages.select(F.col(page_id).cast("bigint").alias("page_id"), record(F.col(page_id), F.col(url), F.col(html)).alias("record"))
 
 
 def index(archive: DataFrame) -> DataFrame:
-    """Leaves of :func:`records`: archive, node, page_id, offset, length, digest, hash."""
+    """Leaves of :func:`records`: node, page_id, records, length, digest, hash."""
     own = archive.select("page_id", F.octet_length("record").cast("bigint").alias("length"), F.sha2("record", 256).alias("digest"))
-    spare = -1 - F.pmod(F.xxhash64("digest"), F.lit(NULL_ARCHIVES))
-    placed = own.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / RECORDS), spare).cast("bigint"))
-    order = Window.partitionBy("archive").orderBy("page_id", "digest")
-    numbered = placed.withColumns({"node": F.row_number().over(order).cast("bigint") - 1, "offset": F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")})
-    leaf = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
-    return numbered.select("archive", "node", "page_id", "offset", "length", "digest", leaf.alias("hash"))
+    node = F.coalesce("page_id", -1 - F.pmod(F.xxhash64("digest"), F.lit(NULL_LEAVES)))
+    same = own.groupBy(node.alias("node"), "page_id", "digest").agg(F.count("*").alias("records"), F.sum("length").alias("length"))
+    own_hash = F.sha2(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "digest", F.col("records").cast("string")), 256)
+    chunks = [F.conv(F.substring("h", 1 + DIGITS * k, DIGITS), 16, 10).cast("bigint") for k in range(4)]
+    sums = [F.sum("records").alias("records"), F.sum("length").alias("length"), F.min("digest").alias("digest"), *(F.bit_xor(c).alias(f"x{k}") for k, c in enumerate(chunks))]
+    leaves = same.withColumn("h", own_hash).groupBy("node").agg(F.min("page_id").alias("page_id"), *sums)
+    mixed = F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("records", "length", "x0", "x1", "x2", "x3"))), 256)
+    return leaves.select("node", "page_id", "records", "length", "digest", mixed.alias("hash"))
 
 
 def parents(level: DataFrame) -> DataFrame:
-    """The next level of nodes above (archive, node, hash)."""
-    children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"])
+    """The next level of nodes above (node, length, hash)."""
+    children = F.array_sort(F.collect_list(F.struct("node", "length", "hash")))  # FAN at most
+    line = F.transform(children, lambda c: F.concat_ws(":", F.pmod(c["node"], F.lit(FAN)).cast("string"), c["length"].cast("string"), c["hash"]))
     above = F.floor(F.col("node") / FAN).cast("bigint")
-    return level.groupBy("archive", above.alias("above")).agg(F.sha2(F.array_join(children, ""), 256).alias("hash")).select("archive", F.col("above").alias("node"), "hash")
+    return level.groupBy(above.alias("above")).agg(F.sum("length").alias("length"), F.sha2(F.array_join(line, ","), 256).alias("hash")).select(F.col("above").alias("node"), "length", "hash")
+
+
+def depth_of(*leaves: DataFrame) -> int:
+    """Levels above the leaves until only the nodes -1 and 0 are left in all of them."""
+    depth = 0
+    for own in leaves:
+        low, high = own.agg(F.min("node"), F.max("node")).first()
+        low, high, k = min(low or 0, 0), max(high or 0, 0), 0
+        while low < -1 or high > 0:
+            low, high, k = low // FAN, high // FAN, k + 1
+        depth = max(depth, k)
+    return depth
+
+
+def tree(leaves: DataFrame, depth: int) -> list[DataFrame]:
+    """Levels from the leaves up; ``leaves`` should be a written table."""
+    levels = [leaves]
+    for _ in range(depth):
+        levels.append(cut(parents(levels[-1].select("node", "length", "hash")), "merkle")[0])
+    return levels
 
 
-def tree(leaves: DataFrame, records_in_archive: int = RECORDS) -> list[DataFrame]:
-    """Levels from the leaves to the roots, cut after the leaves."""
-    own, _ = cut(leaves, "merkle")
-    levels = [own]
-    wide = records_in_archive
-    while wide > 1:
-        levels.append(cut(parents(levels[-1].select("archive", "node", "hash")), "merkle")[0])
-        wide = -(-wide // FAN)
-    return levels
+def root(levels: list[DataFrame]) -> str | None:
+    """The replica's root: a hash of its top nodes, two at most."""
+    top = sorted((r.node, r.length, r.hash) for r in levels[-1].select("node", "length", "hash").limit(2).collect())
+    return levels[0].sparkSession.range(1).select(F.sha2(F.lit(repr(top)), 256)).first()[0] if top else None
 
 
 def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """Leaves that differ: archive, node, status and both sides' columns (``_a``, ``_b``)."""
+    """Leaves that differ: page_id, status and both sides' offset, length, records, digest (``_a``, ``_b``)."""
+    same = root(ours) == root(theirs)
     suspects = None
     for a, b in zip(reversed(ours), reversed(theirs)):
         sides = []
         for side, level in (("a", a), ("b", b)):
+            before = F.lit(0).cast("bigint")
+            parent = F.lit(0)
             if suspects is not None:
-                under = suspects.select(F.col("archive").alias("_archive"), F.col("node").alias("_above"))
-                level = level.join(under, (F.col("archive") == F.col("_archive")) & (F.floor(F.col("node") / FAN) == F.col("_above")), "left_semi")
-            sides.append(level.select("archive", "node", *(F.col(c).alias(f"{c}_{side}") for c in level.columns if c not in ("archive", "node"))))
-        suspects = sides[0].join(sides[1], ["archive", "node"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+                under = suspects.select(F.col("node").alias("_above"), F.coalesce(f"offset_{side}", F.lit(0)).cast("bigint").alias("_offset"))
+                level = level.join(under, F.floor(F.col("node") / FAN) == F.col("_above"))
+                before, parent = F.col("_offset"), F.col("_above")
+            left = Window.partitionBy(parent).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # FAN rows at most
+            offset = (before + F.coalesce(F.sum("length").over(left), F.lit(0))).alias(f"offset_{side}")
+            sides.append(level.select("node", offset, *(F.col(c).alias(f"{c}_{side}") for c in level.columns if c not in ("node", "_above", "_offset"))))
+        suspects = sides[0].join(sides[1], "node", "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")) & F.lit(not same))
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("changed")
-    return suspects.withColumn("status", status)
+    ends = [f"{c}_{side}" for side in "ab" for c in ("offset", "length", "records", "digest")]
+    found = suspects.select(F.coalesce("page_id_a", "page_id_b").alias("page_id"), status.alias("status"), *ends)
+    return found.withColumns({f"offset_{x}": F.when(F.col(f"length_{x}").isNotNull(), F.col(f"offset_{x}")) for x in "ab"})
+
+
+def audited(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """:func:`audit` of two tables of records."""
+    leaves = [cut(index(x), "merkle")[0] for x in (ours, theirs)]
+    depth = depth_of(*leaves)
+    return audit(*(tree(x, depth) for x in leaves))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -87,25 +128,23 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = audit(tree(index(records(pages))), tree(index(records(damaged(pages)))))
-    return found.select("archive", "node", "status", "page_id_a", "offset_a", "length_a", "digest_a", "page_id_b", "offset_b", "length_b", "digest_b")
+    return audited(records(pages), records(damaged(pages)))
 
 
 def _side(name: str, pages: str) -> str:
     text = "'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::varchar, '') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e"
-    return f"""{name} as (select *, row_number() over w - 1 as node, (sum(length) over (w rows unbounded preceding) - length)::bigint as "offset"
-      from (select page_id, page_id // {RECORDS} as archive, strlen(r)::bigint as length, sha256(r) as digest
-            from (select page_id, {text} as r from ({pages}), (select chr(13) || chr(10) as e)))
-      window w as (partition by archive order by page_id, digest))"""
+    return f"""{name} as (select *, (sum(length) over (order by page_id) - length)::bigint as "offset"
+      from (select page_id, sum(strlen(r))::bigint as length, count(*) as records, min(sha256(r)) as digest, list_sort(list(sha256(r))) as digests
+            from (select page_id, {text} as r from ({pages}), (select chr(13) || chr(10) as e)) group by page_id))"""
 
 
 SQL = f"""
 with {_side("a", "select page_id, url, html from pages")},
 {_side("b", "select page_id, url, case when page_id % 101 = 7 then '#' || substring(html, 2) else html end as html from pages where page_id % 9973 <> 77")}
-select coalesce(a.archive, b.archive) as archive, coalesce(a.node, b.node) as node,
+select coalesce(a.page_id, b.page_id) as page_id,
   case when b.digest is null then 'missing' when a.digest is null then 'extra' else 'changed' end as status,
-  a.page_id as page_id_a, a."offset" as offset_a, a.length as length_a, a.digest as digest_a,
-  b.page_id as page_id_b, b."offset" as offset_b, b.length as length_b, b.digest as digest_b
-from a full join b on a.archive = b.archive and a.node = b.node
-where a.digest is distinct from b.digest or a."offset" is distinct from b."offset" or a.length is distinct from b.length
+  a."offset" as offset_a, a.length as length_a, a.records as records_a, a.digest as digest_a,
+  b."offset" as offset_b, b.length as length_b, b.records as records_b, b.digest as digest_b
+from a full join b on a.page_id = b.page_id
+where a.digests is distinct from b.digests
 """

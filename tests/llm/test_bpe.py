@@ -1,3 +1,4 @@
+import base64
 import hashlib
 
 import public_tokenizers
@@ -62,3 +63,16 @@ def test_encoder_and_decoder_columns(spark):
     ids = df.select(bpe.encoder(spark)(bpe.F.col("text")).alias("ids"))
     got = [bytes(r.b).decode() for r in ids.select(bpe.decoder(spark)(bpe.F.col("ids")).alias("b")).collect()]
     assert got == ["héllo wörld", "", ""]
+
+
+def test_a_worker_follows_the_vocabulary(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "abab")], "doc_id bigint, text string")
+    for k, pair in enumerate(("ab", "ba")):
+        lines = [b"%s %d" % (base64.b64encode(t), i) for i, t in enumerate([b"a", b"b", pair.encode(), b"zz"])]
+        (tmp_path / f"{k}.tiktoken").write_bytes(b"\n".join(lines))
+        ids = docs.select(bpe.encoder(spark, str(tmp_path / f"{k}.tiktoken"))("text").alias("ids")).first().ids
+        assert ids == [[2, 2], [0, 2, 1]][k]
+
+
+def test_an_empty_vocabulary_knows_no_token():
+    assert bpe.Vocabulary({}).id(b"a") is None

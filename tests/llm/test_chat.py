@@ -1,3 +1,4 @@
+import duckdb
 import hashlib
 
 from hypothesis import given
@@ -59,6 +60,20 @@ def test_events_fold_into_the_final_text(spark):
     assert segments[0].segment[segments[0].loss_start : segments[0].loss_end] == "final" and segments[1].loss_start == segments[1].loss_end
 
 
+def test_events_delivered_again_count_once_and_ties_have_an_order(spark):
+    log = [(1, 1, 1, "open", "user", None), (1, 1, 2, "delta", None, "hi"), (1, 1, 2, "delta", None, "hi"), (1, 1, 3, "delta", None, "b"), (1, 1, 3, "delta", None, "a"), (1, 1, 1, "open", "user", None)]
+    for rows in (log, log[::-1]):
+        df = spark.createDataFrame(rows, "conv_id bigint, msg bigint, seq int, kind string, role string, text string")
+        assert [chat.read(s.segment) for s in chat.reconstruct(df).collect()] == [("user", "hiab")]
+
+
+def test_query_equals_sql(spark, small):
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{small}/conversations.parquet'")
+    want, got = db.sql(chat.SQL), chat.op8_chat(spark, small)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 @given(st.text(alphabet="\\<[elbab|turnd>\n]/INSTé", max_size=40), st.sampled_from(["user", "assistant", "sys<tem", "", "a\n\\n"]))
 def test_rendering_is_reversible(text, role):
     segment, start, end = chat.render(role, text)

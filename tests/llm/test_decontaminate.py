@@ -1,3 +1,4 @@
+import duckdb
 import hashlib
 import re
 
@@ -91,3 +92,19 @@ def test_lowering_leaves_other_letters(spark):
 def test_main_path_runs_no_python(spark, small):
     plan = decontaminate.op4_decontaminate(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_query_equals_sql(spark, small):
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"create view {name} as select * from '{small}/{name}.parquet'")
+    want, got = db.sql(decontaminate.SQL), decontaminate.op4_decontaminate(spark, small)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_texts_beyond_the_broadcast_bounds(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_TEXTS", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", 0)
+    hit = {t for (_, t, _) in cases.ROWS if plain([(0, t)], ITEMS)[0][2]}
+    kept = decontaminate.clean(cases.rows(spark), items(spark))
+    assert sorted(r.text or "" for r in kept.collect()) == sorted(t or "" for _, t, _ in cases.ROWS if t not in hit)

@@ -10,8 +10,8 @@ from storyflow.shared import table
 
 from . import cases
 from .test_decontaminate import plain as contaminated
+from .test_jaccard import plain_roots
 from .test_secretscan import plain as secrets
-from .test_simhash import plain_components, plain_fingerprint
 
 
 def test_run_equals_brute_force(spark, small):
@@ -20,9 +20,8 @@ def test_run_equals_brute_force(spark, small):
     model = langid.train(docs.where(~langid.held_out()))
     rows = {r.doc_id: r.text for r in docs.collect()}
     names, scores = model.score([(t or "").encode() for t in rows.values()])
-    kept = [i for i, n, s in zip(rows, names, scores) if n != "und" and s >= 0.5]
-    groups = plain_components([plain_fingerprint(rows[i]) for i in kept], kept)
-    kept = [i for i, c in zip(kept, groups) if i == c]
+    kept = sorted(i for i, n, s in zip(rows, names, scores) if n != "und" and s >= 0.5)
+    kept = [kept[k] for k in sorted(set(plain_roots([rows[i] for i in kept])))]
     hit = {d for d, _, h, _ in contaminated([(i, rows[i]) for i in kept], items) if h}
     kept = [i for i in kept if i not in hit]
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path(bpe.VOCABULARY))
@@ -37,7 +36,7 @@ def test_run_equals_brute_force(spark, small):
             at = max(at, end)
         text += rows[i][at:]
         ids = plain.encode_ordinary(text)
-        assert got[i].n_tokens == len(ids) and got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_stages_keep_the_columns_and_stand_edge_rows(spark, tmp_path):

@@ -1,5 +1,3 @@
-import hashlib
-
 import duckdb
 
 from storyflow.llm import warc
@@ -11,6 +9,8 @@ SCHEMA = "page_id bigint, url string, html string, archive string, node string,
 
 
 def pages(spark, rows):
+    if not rows:
+        return spark.createDataFrame([], SCHEMA)
     return spark.createDataFrame([(*r, "a", "n", "d") for r in rows], SCHEMA)
 
 
@@ -24,34 +24,40 @@ def test_query_equals_sql(spark, small):
     assert sorted(map(repr, (tuple(r) for r in got.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def audited(spark, ours, theirs):
+    return warc.audited(*(warc.records(pages(spark, rows)) for rows in (ours, theirs))).collect()
+
+
 def test_equal_replicas_have_no_differences(spark):
-    ours = warc.tree(warc.index(warc.records(pages(spark, PAGES))))
-    theirs = warc.tree(warc.index(warc.records(pages(spark, PAGES[::-1]))))
-    assert warc.audit(ours, theirs).count() == 0 and ours[0].count() == len(PAGES)
+    assert audited(spark, PAGES, PAGES[::-1]) == []
+    assert warc.index(warc.records(pages(spark, PAGES))).selectExpr("sum(records)").first()[0] == len(PAGES)
 
 
 def test_audit_locates_each_kind_of_damage(spark):
     hurt = [(i, u, "X" + h[1:] if i == 701 else h) for i, u, h in PAGES if i != 1199] + [(2000, "new", "page")]
-    ours, theirs = (warc.tree(warc.index(warc.records(pages(spark, rows)))) for rows in (PAGES, hurt))
-    got = {(r.status, r.page_id_a, r.page_id_b) for r in warc.audit(ours, theirs).collect()}
-    assert got == {("changed", 701, 701), ("missing", 1199, None), ("extra", None, 2000)}
-
-
-def test_offsets_and_nodes_follow_from_the_records(spark):
-    made = warc.records(pages(spark, PAGES[:40]))
-    bodies = [r.record.encode() for r in made.orderBy("page_id").collect()]
-    leaves = warc.index(made).orderBy("node").collect()
-    at, hashes = 0, []
-    for body, leaf in zip(bodies, leaves):
-        assert (leaf.offset, leaf.length, leaf.digest) == (at, len(body), hashlib.sha256(body).hexdigest())
-        hashes.append(hashlib.sha256(f"{at}:{len(body)}:{leaf.digest}".encode()).hexdigest())
-        at += len(body)
-    assert [x.hash for x in leaves] == hashes
-    level = warc.parents(warc.index(made).select("archive", "node", "hash")).orderBy("node").collect()
-    assert [x.hash for x in level] == [hashlib.sha256("".join(hashes[i : i + 16]).encode()).hexdigest() for i in (0, 16, 32)]
-
-
-def test_empty_tables(spark, tmp_path):
+    got = {(r.status, r.page_id, r.length_a is None, r.length_b is None) for r in audited(spark, PAGES, hurt)}
+    assert got == {("changed", 701, False, False), ("missing", 1199, False, True), ("extra", 2000, True, False)}
+
+
+def test_a_lost_record_is_one_row_and_offsets_follow_from_the_records(spark):
+    rows = [(i, "u", "x" * i) for i in range(512)]
+    lost = [r for r in rows if r[0] != 40]
+    lost[200] = (201, "u", "y")
+    got = {r.page_id: r for r in audited(spark, rows, lost)}
+    assert {i: r.status for i, r in got.items()} == {40: "missing", 201: "changed"}
+    sizes = {r.page_id: len(r.record.encode()) for r in warc.records(pages(spark, rows)).collect()}
+    at = sum(sizes[i] for i in range(201))
+    assert (got[201].offset_a, got[201].offset_b, got[40].offset_b) == (at, at - sizes[40], None)
+    assert (got[40].offset_a, got[40].length_a) == (sum(sizes[i] for i in range(40)), sizes[40])
+
+
+def test_repeated_rows_of_a_page_count(spark):
+    rows = [(5, "u", "a"), (5, "u", "a"), (5, "u", "b"), (6, "u", "c")]
+    assert [(r.page_id, r.status, r.records_a, r.records_b) for r in audited(spark, rows, rows[1:])] == [(5, "changed", 3, 2)]
+    assert [(r.page_id, r.status) for r in audited(spark, rows, [rows[0], *rows[2:], rows[2]])] == [(5, "changed")]
+
+
+def test_pages_without_an_id_and_empty_tables(spark, tmp_path):
+    assert {(r.page_id, r.status) for r in audited(spark, PAGES, PAGES[:-1])} == {(None, "missing")}
     assert warc.op6_warc(spark, cases.store(pages(spark, PAGES[:1]).where("false"), tmp_path / "a", "pages")).count() == 0
-    full, none = (warc.tree(warc.index(warc.records(pages(spark, PAGES).where(w)))) for w in ("true", "false"))
-    assert {r.status for r in warc.audit(full, none).collect()} == {"missing"}
+    assert {r.status for r in audited(spark, PAGES, [])} == {"missing"} and {r.status for r in audited(spark, [], PAGES)} == {"extra"}
