@@ -152,3 +152,18 @@ def escalated(flags: dict[str, Column], order: list[str]) -> tuple[Column, Colum
     """Names of the flags that are set, and the last of ``order`` among them."""
     names = F.array_compact(F.array(*(F.when(c, n) for n, c in flags.items())))
     return names, reduce(lambda acc, n: F.when(F.array_contains(names, n), n).otherwise(acc), order, F.lit(None).cast("string"))
+
+
+def default_value(value: Column, default: str) -> Column:
+    """``default`` for an entry that was never set; an empty one was."""
+    return F.coalesce(value, F.lit(default))
+
+
+def framed(values: Column, first: str, last: str) -> Column:
+    """A list between two marks."""
+    return F.concat(F.array(F.lit(first)), values, F.array(F.lit(last)))
+
+
+def longest_first(names: Column) -> Column:
+    """Names by falling length, then in reverse order, so that no name hides a longer one."""
+    return F.transform(F.reverse(F.array_sort(F.transform(names, lambda n: F.struct(F.length(n).alias("k"), n.alias("n"))))), lambda x: x["n"])

@@ -72,17 +72,25 @@ def _binary(fn, kind: str, arrow: pa.DataType):
 
 
 def unpacked(encoding: str):
-    """Column function: bytes without ``gzip`` or ``deflate``; '' leaves them."""
+    """Column function: bytes without ``gzip`` or ``deflate``; '' leaves them. Damaged bodies give null."""
     if encoding not in ("", "gzip", "deflate"):
         raise ValueError(f"unsupported encoding {encoding}")
 
-    def inflate(data: bytes) -> bytes:
+    def gunzip(data: bytes) -> bytes | None:
         try:
-            return zlib.decompress(data)
-        except zlib.error:
-            return zlib.decompress(data, -15)
-
-    return {"": lambda c: c, "gzip": _binary(gzip.decompress, "binary", pa.binary()), "deflate": _binary(inflate, "binary", pa.binary())}[encoding]
+            return gzip.decompress(data)
+        except (OSError, EOFError, zlib.error):
+            return None
+
+    def inflate(data: bytes) -> bytes | None:
+        for bits in (15, -15):
+            try:
+                return zlib.decompress(data, bits)
+            except zlib.error:
+                pass
+        return None
+
+    return {"": lambda c: c, "gzip": _binary(gunzip, "binary", pa.binary()), "deflate": _binary(inflate, "binary", pa.binary())}[encoding]
 
 
 def _fast_hash(data: bytes) -> int:

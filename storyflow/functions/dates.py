@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%p": "a", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE"}
 
 #: Seconds of the units of relative dates.
-UNITS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "day": 86400, "week": 604800, "month": 31 * 86400, "year": 365 * 86400, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "y": 365 * 86400}
+UNITS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "day": 86400, "week": 604800, "month": 31 * 86400, "mth": 31 * 86400, "yr": 365 * 86400, "year": 365 * 86400, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "y": 365 * 86400}
 
 
 def java_pattern(strptime: str) -> str:
@@ -36,14 +36,14 @@ def parsed(text: Column, *formats: str, months: dict[str, str] | None = None) ->
 
 
 def relative(text: Column, now: Column) -> Column:
-    """``now`` less "3 days ago"; yesterday, just now; null for anything else."""
+    """``now`` less "3 days ago"; yesterday, just now; the second day of 1970 for anything else, null for null."""
     text = F.lower(F.trim(text))
     n = F.regexp_extract(text, r"^(\d+) *([a-z]+)", 1)
     unit = F.regexp_replace(F.regexp_extract(text, r"^(\d+) *([a-z]+)", 2), r"(?<=..)s$", "")
     size = reduce(lambda acc, u: F.when(unit == u, UNITS[u]).otherwise(acc), UNITS, F.lit(None).cast("int"))
     ago = F.when(n != "", n.cast("bigint") * size)
     seconds = F.when(text.startswith("yesterday"), 86400).when(text.startswith("just now"), 0).otherwise(ago)
-    return F.timestamp_seconds(F.unix_timestamp(now) - seconds)
+    return F.when(text.isNotNull(), F.coalesce(F.timestamp_seconds(F.unix_timestamp(now) - seconds), F.timestamp_seconds(F.lit(86400))))
 
 
 def from_milliseconds(ms: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyflow.functions import arrays, urls
-from storyflow.operators import keys
+from storyflow.operators import keys, positions
 
 #: Report order of the statuses, good ones first.
 STATUSES = ("Add", "Update", "Meta", "Different URL", "Skipped", "Bad", "Error")
@@ -114,3 +114,25 @@ def error_column(old: Column, failed: Column, message: Column) -> Column:
 def reading_list(current: DataFrame, add: DataFrame, remove: DataFrame, key: str = "book_id") -> DataFrame:
     """A list's books after adding and removing some."""
     return current.select(key).unionByName(add.select(key)).distinct().join(remove.select(key), key, "left_anti")
+
+
+def site_counts(stories: DataFrame, site: str, new: str) -> DataFrame:
+    """``stories`` of each site and the sum of their new chapters."""
+    return stories.groupBy(site).agg(F.count("*").alias("stories"), F.coalesce(F.sum(new), F.lit(0)).cast("bigint").alias("new_chapters"))
+
+
+def valid_metadata(title: Column, chapters: Column) -> tuple[Column, Column]:
+    """Whether a story can be written, and why not: it needs a title and a chapter."""
+    why = F.when(F.coalesce(title, F.lit("")) == "", "no title").when(F.coalesce(chapters, F.lit(0)) < 1, "no chapters")
+    return why.isNull(), why
+
+
+def good_and_bad(stories: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
+    """Stories that went well, and all others; null isn't good."""
+    fine = F.coalesce(good, F.lit(False))
+    return stories.where(fine), stories.where(~fine)
+
+
+def list_order(books: DataFrame, by: str) -> DataFrame:
+    """``listorder``: a book's place from 0 by a column."""
+    return positions.placed(books, by, "listorder").withColumn("listorder", F.col("listorder") - 1)

@@ -28,12 +28,14 @@ def chapters_counted(total: Column, first: int | None, last: int | None) -> Colu
     return F.greatest(end - F.lit((first or 1) - 1), F.lit(0))
 
 
-def merged(new: DataFrame, old: DataFrame, key: str = "url", reload_first: bool = False) -> DataFrame:
+def merged(new: DataFrame, old: DataFrame, key: str = "url", reload_first: bool = False, story: str | None = None, mark_new: bool = True) -> DataFrame:
     """``new`` (key, number, title) with old text where the key was known.
 
     ``old`` has key, pos, html, origtitle, title; of equal keys the first row
-    counts. ``is_new``: fetched now while there is earlier output, or still
-    marked there (its title was decorated). ``fetch``: the text must be fetched.
+    counts. ``is_new``: not known while there is earlier output (of the same
+    ``story``, where both sides have that column), or still marked there (its
+    title was decorated); none without ``mark_new``, and never a first chapter
+    that is reloaded. ``fetch``: the text must be fetched.
     """
     first = keys.first_by(old.select(key, "pos", F.col("html").alias("old_html"), F.col("origtitle").alias("old_orig"), F.col("title").alias("old_title")), [key], F.col("pos")).drop("pos")
     out = new.join(first, key, "left")
@@ -41,19 +43,31 @@ def merged(new: DataFrame, old: DataFrame, key: str = "url", reload_first: bool
     if reload_first:
         fetch = fetch | (F.col("number") == 1)
     still = F.coalesce(F.col("old_orig") != F.col("old_title"), F.lit(False))
-    fresh = (F.col("old_html").isNull() & F.lit(True)) | still
-    return out.withColumns({"fetch": fetch, "is_new": fresh}).drop("old_orig", "old_title")
+    if story:
+        out = out.join(old.select(F.col(story).alias("_story")).distinct(), F.col(story) == F.col("_story"), "left")
+        earlier = F.col("_story").isNotNull()
+    else:
+        earlier = F.lit(not old.isEmpty())
+    fresh = (F.col("old_html").isNull() & earlier) | still
+    if reload_first:
+        fresh = fresh & (F.col("number") != 1)
+    return out.withColumns({"fetch": fetch, "is_new": fresh & F.lit(mark_new)}).drop("old_orig", "old_title", "_story")
 
 
 def merged_by_place(new: DataFrame, old: DataFrame) -> DataFrame:
-    """The same for old output without urls: by story and number."""
-    return new.join(old.select("story", "number", F.col("html").alias("old_html")), ["story", "number"], "left")
+    """The same for old output without urls: by story and number; of several old rows the least text counts."""
+    first = old.groupBy("story", "number").agg(F.min("html").alias("old_html"))
+    known = old.select("story", F.lit(True).alias("_known")).distinct()
+    out = new.join(first, ["story", "number"], "left").join(known, "story", "left")
+    return out.withColumn("is_new", F.col("old_html").isNull() & F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def decision(old: Column, new: Column, always: bool = False, force: bool = False) -> Column:
-    """skip, refuse, warn or update, by the counts of old and new chapters."""
-    equal = F.lit("update" if always else "skip")
-    return F.when(old == new, equal).when(old > new, "update" if force else "warn").when(old == 0, "refuse").otherwise("update")
+    """skip, refuse, warn or update, by the counts of old and new chapters; forced, they don't matter."""
+    if force:
+        return F.lit("update")
+    out = F.when(old > new, "warn").when(old == 0, "refuse").otherwise("update")
+    return out if always else F.when(old == new, "skip").otherwise(out)
 
 
 #: What to do with a book that exists, by mode.

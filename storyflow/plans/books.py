@@ -45,12 +45,11 @@ def id_to_name_lookup(spark, sf):
     return rows.select("c_custkey", F.array_join(F.transform("r", lambda r: r["name"]), ", ").alias("names"))
 
 
-@query("""with recursive m as (select i as url, case when i % 10 < 6 and i % 10 <> 0 then i - 1 end as location from range(0, 200) t(i)),
-  r as (select url, url as here, 0 as n from m union all select r.url, m.location, n + 1 from r join m on m.url = r.here where m.location is not null)
-  select url, arg_max(here, n) as final_url from r group by url""")
+@query("select doc_id as url, case when doc_id % 1000 = 999 then null else doc_id - doc_id % 1000 % 60 end as final_url from documents")
 def redirect_chase(spark, sf):
-    urls = spark.range(200).select(F.col("id").alias("url"))
-    moves = urls.where("url % 10 < 6 and url % 10 <> 0").select("url", (F.col("url") - 1).alias("location"))
+    urls = table(spark, sf, "documents").select(F.col("doc_id").alias("url"))
+    back = urls.where("url % 1000 % 60 <> 0 and url % 1000 <> 999").select("url", (F.col("url") - 1).alias("location"))
+    moves = back.unionByName(urls.where("url % 1000 = 999").select("url", F.col("url").alias("location")))
     return lookups.redirects(spark, urls, moves)
 
 

@@ -56,17 +56,17 @@ def ignore_list(spark, sf):
     return keys.drop(table(spark, sf, "documents").select("doc_id", "source"), ignored, ["doc_id"])
 
 
-_OLD = "select conv_id as story, turn as pos, conv_id || '/' || turn as url, text as html, role as origtitle, case when turn % 4 = 3 then '(new) ' || role else role end as title from conversations where (conv_id + turn) % 3 <> 0"
+_OLD = "select conv_id as story, turn as pos, conv_id || '/' || turn as url, text as html, role as origtitle, case when turn % 4 = 3 then '(new) ' || role else role end as title from conversations where (conv_id + turn) % 3 <> 0 and conv_id % 5 <> 2"
 
 
 @query(f"""
-  select c.conv_id as story, c.turn as pos, o.html is null as fetch, o.html is null or (o.origtitle <> o.title) as is_new, coalesce(length(o.html), 0)::bigint as reused_chars
+  select c.conv_id as story, c.turn as pos, o.html is null as fetch, (o.html is null and c.conv_id in (select story from ({_OLD}))) or coalesce(o.origtitle <> o.title, false) as is_new, coalesce(length(o.html), 0)::bigint as reused_chars
   from conversations c left join ({_OLD}) o on o.url = c.conv_id || '/' || c.turn""")
 def old_new_chapter_join(spark, sf):
     rows = _chapters(spark, sf)
     url = F.concat(F.col("story").cast("string"), F.lit("/"), F.col("pos").cast("string")).alias("url")
-    old = rows.where((F.col("story") + F.col("pos")) % 3 != 0).select(url, "pos", F.col("text").alias("html"), F.col("role").alias("origtitle"), F.when(F.col("pos") % 4 == 3, F.concat(F.lit("(new) "), "role")).otherwise(F.col("role")).alias("title"))
-    out = listing.merged(rows.select("story", "pos", url), old)
+    old = rows.where((F.col("story") + F.col("pos")) % 3 != 0).where("story % 5 <> 2").select("story", url, "pos", F.col("text").alias("html"), F.col("role").alias("origtitle"), F.when(F.col("pos") % 4 == 3, F.concat(F.lit("(new) "), "role")).otherwise(F.col("role")).alias("title"))
+    out = listing.merged(rows.select("story", "pos", url), old, story="story")
     return out.select("story", "pos", "fetch", "is_new", F.coalesce(F.length("old_html"), F.lit(0)).cast("bigint").alias("reused_chars"))
 
 

@@ -27,10 +27,10 @@ def date_defaulting(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", updated.alias("date_updated"))
 
 
-_AGO = "('3 days ago', 259200), ('2 years ago', 63072000), ('1 month', 2678400), ('5 mins ago', 300), ('Yesterday', 86400), ('just now', 0), ('10 h', 36000), ('1 week ago', 604800), ('whenever', null)"
+_AGO = "('3 days ago', 259200), ('2 years ago', 63072000), ('1 month', 2678400), ('5 mins ago', 300), ('Yesterday', 86400), ('just now', 0), ('10 h', 36000), ('1 week ago', 604800), ('2 yr', 63072000), ('3 mth ago', 8035200), ('4 fortnights', null), ('whenever', null)"
 
 
-@query(f"select said, timestamp '2024-05-01 12:00:00' - to_seconds(ago) as at from (values {_AGO}) as t(said, ago)")
+@query(f"select said, coalesce(timestamp '2024-05-01 12:00:00' - to_seconds(ago), timestamp '1970-01-02 00:00:00') as at from (values {_AGO}) as t(said, ago)")
 def relative_date(spark, sf):
     said = spark.sql(f"select * from values {_AGO} as t(said, ago)")
     return said.select("said", dates.relative(F.col("said"), F.lit("2024-05-01 12:00:00").cast("timestamp")).alias("at"))

@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyflow.functions import arrays
+from storyflow.functions.udf import lazy
 from storyflow.rules import language
 from storyflow.rules.language import Filter, Program, Test
 
 _LIST = "array<string>"
 #: Longer programs are interpreted: as Columns they would outgrow a compiled method.
 MOST_LINES = 100
+#: A pattern that is found nowhere.
+NEVER = "(?!)"
 
 
 def test_column(test: Test, value: Column, is_list: bool) -> Column | None:
@@ -84,7 +87,11 @@ def scalar_column(program: Program, key: str, entries: Entries, value: Column) -
     for rule in program.replacements:
         if not rule.keys or key in rule.keys:
             regex, to = language.java(rule)
-            out = F.when(_condition(rule.condition, key, entries), F.regexp_replace(out, regex, to)).otherwise(out)
+            if rule.condition is None or key in rule.condition.keys:
+                out = F.regexp_replace(out, regex, to)
+            else:  # ``out`` once only, else its size would double with every rule
+                own = F.when(_condition(rule.condition, key, entries), F.lit(regex)).otherwise(F.lit(NEVER))
+                out = F.regexp_replace(out, own, F.lit(to))
     keep = keep & _kept(program.include_post, key, entries, out, True) & _kept(program.exclude_post, key, entries, out, False)
     return F.when(keep, out)
 
@@ -197,6 +204,18 @@ def joined_list(df: DataFrame, program: Program, name: str, by: str = ", ") -> C
 def chapter_text(text: Column, lines: str) -> Column:
     """Ordered replacements on a chapter's title or text, without keys or conditions."""
     for rule in language.parse_replacements(lines):
-        regex, to = language.java(rule)
-        text = F.regexp_replace(text, regex, to)
+        found = language.java(rule)
+        text = F.regexp_replace(text, *found) if found else _python_replace(rule)(text)
     return text
+
+
+def _python_replace(rule: language.Replacement):
+    """Column function for a replacement that Java can't say; a split rule's parts are joined by a comma."""
+    pattern, to = re.compile(rule.regex, re.S), ",".join(rule.parts)
+
+    def replaced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if x is None else pattern.sub(to, x) for x in batch.to_pylist()], pa.string())
+
+    replaced.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return lazy(replaced, "string")

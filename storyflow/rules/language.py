@@ -108,19 +108,57 @@ def parse(replace: str = "", include_pre: str = "", exclude_pre: str = "", inclu
     return Program(parse_replacements(replace), *map(parse_filters, (include_pre, exclude_pre, include_post, exclude_post)))
 
 
-def _java_replacement(to: str) -> str:
-    """A Python replacement in Java's syntax."""
-    to = re.sub(r"\$", r"\\$", to)
-    return re.sub(r"\\g<(\w+)>", r"${\1}", re.sub(r"\\(\d)", r"$\1", to)).replace("${0}", "$0")
+#: Escapes of a Python replacement that stand for a character.
+_ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\"}
+_PART = re.compile(r"\\g<(\w+)>|\\([1-9]\d?)|\\(.)|(.)", re.S)
+
+
+def _java_replacement(to: str, regex: str) -> str:
+    """A Python replacement in Java's syntax: group numbers, and all else as literals."""
+    names, out, after_group = re.compile(regex, re.S).groupindex, [], False
+    for name, number, escaped, plain in _PART.findall(to):
+        if name or number:
+            out.append(f"${names.get(name, name) if name else number}")
+            after_group = True
+            continue
+        literal = plain or _ESCAPES.get(escaped) or "\\" + escaped
+        for c in literal:
+            out.append("\\" + c if c in "\\$" or after_group and c.isdigit() else c)
+            after_group = False
+    return "".join(out)
 
 
 def java_regex(regex: str) -> str | None:
     """The pattern in Java's syntax; None if it has no counterpart."""
-    if re.search(r"\(\?\(|\(\?P=|\(\?P<\w*_\w*>|\\[AZ]", regex):
+    if re.search(r"\(\?\(|\(\?P=|\(\?P<\w*_\w*>|\\[AZ0]", regex):
         return None
-    return "(?sU)" + re.sub(r"\{,(\d+)\}", r"{0,\1}", regex.replace("(?P<", "(?<"))
+    out, at, inside = [], 0, False
+    while at < len(regex):
+        c = regex[at]
+        if c == "\\":
+            out.append(regex[at : at + 2])
+            at += 2
+            continue
+        if inside:
+            if c == "]":
+                inside = False
+            out.append("\\" + c if c in "[&" else c)
+        elif c == "[":
+            inside = True
+            head = re.match(r"\[\^?\]?", regex[at:])[0]
+            out.append(head.replace("]", "\\]"))
+            at += len(head)
+            continue
+        elif found := re.match(r"\(\?P<|\{,(?=\d+\})", regex[at:]):
+            out.append("(?<" if found[0] == "(?P<" else "{0,")
+            at += len(found[0])
+            continue
+        else:
+            out.append(c)
+        at += 1
+    return "(?sdU)" + "".join(out)
 
 
 def java(rule: Replacement) -> tuple[str, str] | None:
     regex = java_regex(rule.regex)
-    return None if regex is None or rule.splits else (regex, _java_replacement(rule.parts[0]))
+    return None if regex is None or rule.splits else (regex, _java_replacement(rule.parts[0], rule.regex))

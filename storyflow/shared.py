@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Where it is unset, a local master gets a temporary folder and any other
-    master a folder in the warehouse, which executors share.
+    Where it is unset, a local master gets a temporary folder; on a cluster that
+    is an error, as executors would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         named = "file://" + tempfile.mkdtemp(prefix="storyflow-")
     else:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
 

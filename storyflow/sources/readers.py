@@ -162,7 +162,7 @@ def firefox_entry(data: bytes) -> dict | None:
     key_size = struct.unpack_from(">I", data, head + 24)[0]
     start = head + (32 if struct.unpack_from(">I", data, head)[0] >= 2 else 28)
     key = data[start : start + key_size].decode("utf-8", "replace")
-    return {"key": key.rpartition(":http")[2] and "http" + key.rpartition(":http")[2], "headers": data[start + key_size + 1 : -4].decode("latin-1"), "body": data[:at]}
+    return {"key": "http" + key.rpartition(":http")[2] if ":http" in key else key, "headers": data[start + key_size + 1 : -4].decode("latin-1"), "body": data[:at]}
 
 
 #: Cache formats in the order in which a file is tried.

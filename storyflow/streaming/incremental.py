@@ -26,19 +26,21 @@ class Fold:
     """A state table that each batch replaces, and the rows that each batch gives.
 
     ``step(state, batch) -> (new state, rows)``. State and rows of batch ``n``
-    lie under ``<path>/state/n`` and ``<path>/rows/batch=n``.
+    lie under ``<path>/state/n`` and ``<path>/rows/batch=n``. The state's schema
+    follows from the types of the stream's columns.
     """
 
-    def __init__(self, spark: SparkSession, path: str, state_schema: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]):
+    def __init__(self, spark: SparkSession, path: str, state_schema: Callable[[dict[str, str]], str], step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]):
         self.spark, self.path, self.state_schema, self.step = spark, path, state_schema, step
 
-    def state(self, batch: int) -> DataFrame:
+    def state(self, batch: int, kinds: dict[str, str]) -> DataFrame:
+        schema = self.state_schema(kinds)
         if batch < 0:
-            return self.spark.createDataFrame([], self.state_schema)
-        return self.spark.read.schema(self.state_schema).parquet(f"{self.path}/state/{batch}")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/state/{batch}")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        state, rows = self.step(self.state(number - 1), batch)
+        state, rows = self.step(self.state(number - 1, dict(batch.dtypes)), batch)
         state.write.mode("overwrite").parquet(f"{self.path}/state/{number}")
         rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={number}")
 
@@ -60,7 +62,7 @@ def log_differences(spark: SparkSession, path: str, by: str, value: str, order:
         last = rows.groupBy(by).agg(F.max_by(F.struct(order, value), order).alias("l")).select(by, "l.*")
         return last, changed.select(by, order, value, "previous")
 
-    return Fold(spark, path, f"{by} bigint, {order} bigint, {value} string", step)
+    return Fold(spark, path, lambda kinds: ", ".join(f"`{c}` {kinds[c]}" for c in (by, order, value)), step)
 
 
 def retry_counters(spark: SparkSession, path: str, by: str, order: str, failed: str, passed: str, limit: int = RETRY_LIMIT) -> Fold:
@@ -78,7 +80,7 @@ def retry_counters(spark: SparkSession, path: str, by: str, order: str, failed:
         new = both.select(by, failures.cast("bigint").alias("failures"), (reached | F.coalesce("tripped", F.lit(False))).alias("tripped"))
         return new, new
 
-    return Fold(spark, path, f"{by} bigint, failures bigint, tripped boolean", step)
+    return Fold(spark, path, lambda kinds: f"`{by}` {kinds[by]}, failures bigint, tripped boolean", step)
 
 
 def first_seen(stream: DataFrame, keys: list[str], ts: str, keep: str) -> DataFrame:

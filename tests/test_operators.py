@@ -13,10 +13,29 @@ def test_listing_against_old_output(spark):
     assert [r.fetch for r in listing.merged(new, old, reload_first=True).orderBy("number").collect()] == [True, False, True]
 
 
+def test_chapters_are_new_only_against_earlier_output(spark):
+    new = spark.createDataFrame([("s", "u1", 1), ("s", "u2", 2), ("t", "v1", 1)], "story string, url string, number int")
+    old = spark.createDataFrame([("s", "u1", 1, "x", "a", "a")], "story string, url string, pos int, html string, origtitle string, title string")
+    got = {r.url: r.is_new for r in listing.merged(new, old, story="story").collect()}
+    assert got == {"u1": False, "u2": True, "v1": False}
+    assert not any(r.is_new for r in listing.merged(new, old.where("false")).collect())
+    assert not any(r.is_new for r in listing.merged(new, old, mark_new=False).collect())
+    assert {r.url: r.is_new for r in listing.merged(new, old.where("url = 'none'").unionByName(old), reload_first=True).collect()}["v1"] is False
+    twice = old.select("story", F.col("pos").alias("number"), "html").unionByName(spark.createDataFrame([("s", 1, "b")], "story string, number int, html string"))
+    assert sorted((r.story, r.number, r.old_html, r.is_new) for r in listing.merged_by_place(new, twice).collect()) == [("s", 1, "b", False), ("s", 2, None, True), ("t", 1, None, False)]
+
+
+def test_long_chains_of_redirects_end(spark):
+    moves = spark.range(1, 61).selectExpr("id as url", "id - 1 as location").unionByName(spark.createDataFrame([(100, 101), (101, 100), (99, 100)], "url bigint, location bigint"))
+    start = spark.createDataFrame([(i,) for i in (0, 40, 59, 60, 99, 100, 7000)], "url bigint")
+    assert {r.url: r.final_url for r in lookups.redirects(spark, start, moves).collect()} == {0: 0, 40: 0, 59: 0, 60: 0, 99: None, 100: None, 7000: 7000}
+
+
 def test_update_decisions(spark):
     rows = spark.createDataFrame([(3, 3), (5, 3), (0, 3), (2, 3)], "o int, n int")
     assert [r.d for r in rows.select(listing.decision(F.col("o"), F.col("n")).alias("d")).collect()] == ["skip", "warn", "refuse", "update"]
-    assert [r.d for r in rows.select(listing.decision(F.col("o"), F.col("n"), True, True).alias("d")).collect()] == ["update"] * 2 + ["refuse", "update"]
+    assert [r.d for r in rows.select(listing.decision(F.col("o"), F.col("n"), True, True).alias("d")).collect()] == ["update"] * 4
+    assert spark.createDataFrame([(0, 0)], "o int, n int").select(listing.decision(F.col("o"), F.col("n"), True).alias("d")).first().d == "refuse"
     for mode, want in (("skip", "skip"), ("update", "skip"), ("overwrite_always", "overwrite"), ("add_new", "add")):
         assert rows.limit(1).select(listing.collision(mode, F.lit(True), F.lit(False)).alias("d")).first().d == want
     assert rows.limit(1).select(listing.collision("update", F.lit(False), F.lit(False)).alias("d")).first().d == "add"
@@ -59,7 +78,7 @@ def test_lookups(spark):
     assert lookups.blob_join(res, blobs, F.lit(7)).first().blob == "new"
     loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d")], "url string, location string")
     ends = {r.url: r.final_url for r in lookups.redirects(spark, spark.createDataFrame([("a",), ("c",), ("q",)], "url string"), loop).collect()}
-    assert ends["c"] == "d" and ends["q"] == "q" and ends["a"] in "ab"
+    assert ends["c"] == "d" and ends["q"] == "q" and ends["a"] is None
 
 
 def test_positions(spark):

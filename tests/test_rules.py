@@ -1,5 +1,7 @@
+import re
+
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -84,3 +86,44 @@ def test_columns_equal_the_interpreter(spark, values, lines):
     got = engine.present(df, program, ["k", "other"]).first().k
     want = {y for x in values for y in engine.interpret(program, "k", x, {"other": ["on"]}) if y}
     assert got == sorted(want)
+
+
+def both_ways(spark, line, texts, more=0):
+    """What a rule makes of texts as a Column, and by Python's own ``re``."""
+    rule = language.parse_replacements(line)[0]
+    found = language.java(rule)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.t for r in df.select("i", F.regexp_replace("t", *found).alias("t")).orderBy("i").collect()]
+    return got, [re.sub(rule.regex, rule.parts[0], t, flags=re.S) for t in texts]
+
+
+TEXTS = ["ab", "a[b", "a&b", "x12y", "aa bb", "]", "^", "$1", "tail\n", "é a\\b"]
+
+
+def test_replacements_mean_the_same_in_both_languages(spark):
+    lines = [r"(\w)(\w)=>\g<2>\g<1>", r"(?P<head>a)b?=>[\g<head>]", r"a=>x\ny", r"a=>\\1", r"[a&b]+=>-", r"[^[]+=>-", r"[]a]=>-", r"(a)=>\g<1>2", r"(x)1=>\g<1>1$0", r"l$=>L", r"b{,1}=>.", r"[\[&]=>\t"]
+    for line in lines:
+        got, want = both_ways(spark, line, TEXTS)
+        assert got == want, line
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(["a", "[ab]", "[^&]", "(b|[[x])", "(\\w)", "\\.", "a*", "[a&x]"]), min_size=1, max_size=3), st.lists(st.sampled_from(["x", "\\n", "\\\\", "$", "1", "\\g<0>"]), min_size=1, max_size=3))
+def test_generated_replacements_mean_the_same(spark, regex, to):
+    got, want = both_ways(spark, "".join(regex) + "=>" + "".join(to), TEXTS)
+    assert got == want
+
+
+def test_long_programs_give_what_short_ones_do(spark):
+    df = spark.createDataFrame([(["a&b", "ab", "x[y"], "t")], "genre array<string>, title string")
+    shown = []
+    for lines in (99, 101):
+        more = "".join(f"genre=>none{i}=>n\n" for i in range(lines - 3))
+        program = language.parse(replace=more + "genre=>a=>x\\ny\ngenre=>[a&b]+=>-\ngenre=>(b)=>\\g<1>2\n")
+        shown.append(engine.present(df, program, ["genre", "title"]).first())
+    assert shown[0] == shown[1]
+
+
+def test_chapter_rules_without_a_java_form(spark):
+    df = spark.createDataFrame([("aa b",)], "t string")
+    assert df.select(engine.chapter_text(F.col("t"), r"(?P<c>a)(?P=c)=>x")).first()[0] == "x b"
