@@ -70,7 +70,7 @@ class PerfectHash:
                 self.slots[slot] = group[0]
 
     def _place(self, h: int, d: int) -> int:
-        return ((h >> 20) ^ (d * 0x9E3779B97F4A7C15 + (h >> 40) * d & 0xFFFFFFFFFFFFFFFF)) % self.n
+        return (((h ^ d * 0x9E3779B97F4A7C15) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 32) % self.n
 
     def slot(self, key: bytes) -> int:
         """The only key that ``key`` can be, by its place in ``keys``; below zero if there are none."""
