@@ -33,11 +33,11 @@ class Fold:
     def __init__(self, spark: SparkSession, path: str, state_schema: Callable[[dict[str, str]], str], step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]):
         self.spark, self.path, self.state_schema, self.step = spark, path, state_schema, step
 
-    def state(self, batch: int, kinds: dict[str, str]) -> DataFrame:
-        schema = self.state_schema(kinds)
+    def state(self, batch: int, kinds: dict[str, str] | None = None) -> DataFrame:
+        """The state after a batch; before the first it is empty, by the stream's types."""
         if batch < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/state/{batch}")
+            return self.spark.createDataFrame([], self.state_schema(kinds or {}))
+        return self.spark.read.parquet(f"{self.path}/state/{batch}")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         state, rows = self.step(self.state(number - 1, dict(batch.dtypes)), batch)
