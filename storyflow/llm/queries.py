@@ -10,6 +10,7 @@ from storyflow.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from storyflow.llm.decontaminate import op4_decontaminate
 from storyflow.llm.langid import op3_langid
 from storyflow.llm.lmscore import op5_lm
+from storyflow.llm.pieces import op13_sentencepiece
 from storyflow.llm.secretscan import op10_secrets
 from storyflow.llm.simhash import op1_simhash
 from storyflow.llm.urlfilter import op9_urls
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_urls": op9_urls,
     "op10_secrets": op10_secrets,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE_SQL, "op6_warc": WARC_SQL, "op8_chat": CHAT_SQL}
