@@ -136,6 +136,29 @@ def css_urls(css: Column) -> Column:
     return F.filter(found, lambda u: ~u.rlike(r"(?i)\.(?:ttf|otf|woff2?|eot)(?:[?#]|$)"))
 
 
+_CSS_URL = r"url\(['\"]?.*?['\"]?\)"
+
+
+def css_relinked(css: Column, targets: Column, kept: Column | None = None) -> Column:
+    """Targets of ``url()`` replaced by what the map ``targets`` has for them.
+
+    Fonts, names in the array ``kept`` and targets that the map lacks stay; all text
+    outside the targets is as it was.
+    """
+    tokens = F.regexp_extract_all(css, F.lit(_CSS_URL), F.lit(0))
+
+    def changed(token: Column) -> Column:
+        target = F.regexp_extract(token, r"url\(['\"]?(.*?)['\"]?\)", 1)
+        new = F.try_element_at(targets, target)
+        stays = new.isNull() | F.lower(target).rlike(r"(?:^|\.)(?:ttf|otf|woff2?)$") | (target == "")
+        if kept is not None:
+            stays = stays | F.array_contains(kept, target)
+        return F.when(stays, token).otherwise(F.replace(token, target, new))
+
+    between = F.split(css, _CSS_URL, -1)
+    return F.array_join(F.zip_with(between, F.transform(tokens, changed), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def hidden_classes(markup: Column) -> Column:
     """Classes whose style is ``display: none``."""
     return F.array_distinct(F.regexp_extract_all(markup, F.lit(r"\.([\w-]+)\s*\{[^}]*display\s*:\s*none"), F.lit(1)))
