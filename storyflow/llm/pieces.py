@@ -35,10 +35,13 @@ MODEL = "piece_bpe_32k.model"
 #: Fixed values of the format: the mark of a space, what an unknown id decodes to, piece types, the merge-type algorithm.
 SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE, MERGES = 1, 2, 3, 6, 2
-#: Segments whose ids a worker remembers; it starts afresh beyond that.
-MEMO = 200_000
+#: Segments whose ids a worker remembers; beyond that, those not seen in as many others go.
+MEMO = 300_000
 #: Longer segments are not remembered.
 MEMO_CHARS = 48
+#: Characters of a segment whose agenda is a list.
+SHORT = 40
+_NONE = float("inf")
 
 
 class Vocabulary:
@@ -57,7 +60,11 @@ class Vocabulary:
         self.model, self.digest = model, hashlib.sha256(model).hexdigest()
         self.prefix = SPACE if how.add_dummy_prefix else ""
         self.pieces, self.kinds = [p.piece for p in read.pieces], kinds
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(read.pieces) if p.type == NORMAL}
+        self.ids = {p.piece: i for i, p in enumerate(read.pieces) if p.type == NORMAL}
+        #: The lower, the sooner a pair is merged into the piece.
+        self.order = {p.piece: -p.score for p in read.pieces if p.type == NORMAL}
+        #: Pieces that merging their own characters gives; only these may stand for a whole segment.
+        self.whole = {p: i for p, i in self.ids.items() if merge(p, self.order) == [p]}
         self.byte = [0] * 256
         for i, p in enumerate(read.pieces):
             if p.type == BYTE:
@@ -74,7 +81,7 @@ class Vocabulary:
         Characters of no longer piece stand alone. Before a marked space a cut is
         safe where marked spaces only begin pieces or make up whole ones.
         """
-        long = [p for p in self.rank if len(p) > 1]
+        long = [p for p in self.ids if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in long):
             return lambda text: [text] if text else []
         joined = "".join(map(re.escape, sorted(set("".join(long)) - {SPACE})))
@@ -83,15 +90,35 @@ class Vocabulary:
         return re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|.", re.S).findall
 
 
-def merge(text: str, rank: dict[str, tuple[float, int]]) -> list[str]:
+def merge(text: str, order: dict[str, float]) -> list[str]:
     """Symbols that are left when no adjacent pair makes a piece.
 
-    The agenda holds (score, place of the left symbol, both symbols' ends); an
-    entry whose symbols have changed since is passed over.
+    The agenda of a short text is a list of its pairs' scores, in which the best
+    one is looked up; a longer text's is a heap.
+    """
+    if len(text) > SHORT:
+        return merge_long(text, order)
+    symbols, get = list(text), order.get
+    agenda = [get(a + b, _NONE) for a, b in zip(symbols, symbols[1:])]
+    while agenda and (best := min(agenda)) is not _NONE:
+        i = agenda.index(best)
+        del agenda[i]
+        symbols[i] += symbols.pop(i + 1)
+        if i:
+            agenda[i - 1] = get(symbols[i - 1] + symbols[i], _NONE)
+        if i < len(agenda):
+            agenda[i] = get(symbols[i] + symbols[i + 1], _NONE)
+    return symbols
+
+
+def merge_long(text: str, order: dict[str, float]) -> list[str]:
+    """As :func:`merge`, with entries (score, place of the left symbol, both symbols' ends) in a heap.
+
+    An entry whose symbols have changed since is passed over.
     """
     n = len(text)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda = [(r[0], i, i + 1, i + 2) for i in range(n - 1) if (r := rank.get(text[i : i + 2]))]
+    agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := order.get(text[i : i + 2])) is not None]
     heapify(agenda)
     while agenda:
         _, i, middle, stop = heappop(agenda)
@@ -100,10 +127,10 @@ def merge(text: str, rank: dict[str, tuple[float, int]]) -> list[str]:
         end[i], end[middle] = stop, -1
         if stop < n:
             before[stop] = i
-            if r := rank.get(text[i : end[stop]]):
-                heappush(agenda, (r[0], i, stop, end[stop]))
-        if (h := before[i]) >= 0 and (r := rank.get(text[h:stop])):
-            heappush(agenda, (r[0], h, i, stop))
+            if (r := order.get(text[i : end[stop]])) is not None:
+                heappush(agenda, (r, i, stop, end[stop]))
+        if (h := before[i]) >= 0 and (r := order.get(text[h:stop])) is not None:
+            heappush(agenda, (r, h, i, stop))
     symbols, i = [], 0
     while i < n:
         symbols.append(text[i : end[i]])
@@ -113,58 +140,68 @@ def merge(text: str, rank: dict[str, tuple[float, int]]) -> list[str]:
 
 class Tokenizer:
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.cut, self.memo = vocabulary, vocabulary.segments(), {}
+        self.vocabulary, self.cut = vocabulary, vocabulary.segments()
+        self.memo, self.older = {}, {}
         self.library = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.model)
-
-    def _segment(self, segment: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids of a segment, their digits, and what the ids decode to inside a text."""
-        own, ids = self.vocabulary, []
-        for symbol in (segment,) if segment in own.rank else merge(segment, own.rank):
-            known = own.rank.get(symbol)
-            ids.extend((known[1],) if known else [own.byte[b] for b in symbol.encode()])
-        found = tuple(ids), ",".join(map(str, ids)), self._plain(ids)
+        self.names = [str(i) for i in range(len(vocabulary.pieces))]
+        self.bytes_of = [self._bytes(i) for i in range(len(vocabulary.pieces))]
+
+    def _bytes(self, i: int) -> bytes:
+        """What an id stands for inside a text."""
+        kind, piece = self.vocabulary.kinds[i], self.vocabulary.pieces[i]
+        if kind == BYTE:
+            return bytes([int(piece[1:-1], 16)])
+        return b"" if kind == CONTROL else UNKNOWN_TEXT.encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
+
+    def _segment(self, segment: str) -> tuple[int, ...]:
+        """Ids of a segment that is not among the recent ones."""
+        found = self.older.get(segment)
+        if found is None:
+            own, whole = self.vocabulary, self.vocabulary.whole.get(segment)
+            if whole is None:
+                ids = own.ids
+                found = []
+                for symbol in merge(segment, own.order):
+                    found.extend([ids[symbol]] if symbol in ids else [own.byte[b] for b in symbol.encode()])
+                found = tuple(found)
+            else:
+                found = (whole,)
         if len(segment) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.memo[segment] = found
         return found
 
-    def found(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+    def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        memo, own = self.memo.get, self._segment
-        return [memo(s) or own(s) for s in self.cut(self.vocabulary.prefix + text.replace(" ", SPACE))]
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(f[0] for f in self.found(text)))
-
-    def _plain(self, ids: list[int]) -> str:
-        """Texts of ids without a leading mark to drop; runs of byte pieces are read as UTF-8."""
-        own, out, raw = self.vocabulary, [], bytearray()
-        for i in ids:
-            kind = own.kinds[i]
-            if kind == BYTE:
-                raw.append(int(own.pieces[i][1:-1], 16))
-                continue
-            if raw:
-                out.append(_utf8(bytes(raw)))
-                raw.clear()
-            out.append("" if kind == CONTROL else UNKNOWN_TEXT if kind == UNKNOWN else own.pieces[i].replace(SPACE, " "))
-        if raw:
-            out.append(_utf8(bytes(raw)))
-        return "".join(out)
+        own, found = self._segment, []
+        for segments in _some(self.cut(self.vocabulary.prefix + text.replace(" ", SPACE))):
+            memo = self.memo.get
+            found.append([memo(s) or own(s) for s in segments])
+        return list(chain.from_iterable(chain.from_iterable(found)))
 
     def decode(self, ids: list[int]) -> str:
-        """Text of any ids: the first mark before any text is the prefix, and goes."""
-        own = self.vocabulary
+        """Text of any ids: the first mark before any text is the prefix, and goes.
+
+        Runs of byte pieces are read as UTF-8; every byte that no valid character
+        holds becomes a replacement character of its own.
+        """
+        own, raw = self.vocabulary, list(map(self.bytes_of.__getitem__, ids))
         if own.prefix:
-            for at, i in enumerate(ids):
-                if own.kinds[i] == CONTROL:
-                    continue
-                if own.kinds[i] == NORMAL and own.pieces[i].startswith(SPACE):
-                    return self._plain(ids[:at]) + self._plain(ids[at:])[1:]
-                break
-        return self._plain(ids)
+            at = next((k for k, i in enumerate(ids) if own.kinds[i] != CONTROL), None)
+            if at is not None and own.kinds[ids[at]] == NORMAL and own.pieces[ids[at]].startswith(SPACE):
+                raw[at] = raw[at][1:]
+        whole = b"".join(raw)
+        try:
+            return whole.decode()
+        except UnicodeDecodeError:
+            return _utf8(whole)
+
+
+def _some(segments: list[str], limit: int = 100_000) -> Iterator[list[str]]:
+    """A list in parts, so that one text's segments don't outlive the memo."""
+    return (segments[i : i + limit] for i in range(0, len(segments), limit)) if len(segments) > limit else iter((segments,))
 
 
 def _utf8(raw: bytes) -> str:
@@ -230,13 +267,9 @@ def digests(spark: SparkSession, path: str | None = None) -> Callable[[Column],
         whole = [(t or b"").decode("utf-8", "replace") for t in texts]
         plain = own.library.encode(whole, num_threads=1) if whole else []
         for text, ids in zip(whole, plain):
-            found = own.found(text)
-            names = ",".join([f[1] for f in found])
-            text = "".join([f[2] for f in found])
-            if own.vocabulary.prefix:
-                text = text[1:]
-            same = names == str(ids)[1:-1].replace(" ", "")
-            rows.append((len(ids) if same else sum(len(f[0]) for f in found), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), same))
+            found = own.encode(text)
+            names = ",".join(map(own.names.__getitem__, found)).encode()
+            rows.append((len(found), hashlib.sha256(names).hexdigest(), hashlib.sha256(own.decode(found).encode()).hexdigest(), found == ids))
         kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
         columns = list(zip(*rows)) or [()] * 4
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["n_tokens", "ids_sha256", "decoded_sha256", "checked"])
