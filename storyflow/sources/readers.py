@@ -5,6 +5,7 @@ All reading goes through Spark's readers, so any store that Spark reaches works.
 
 from __future__ import annotations
 
+import html as entities
 import io
 import re
 import struct
@@ -76,7 +77,7 @@ def book_chapters(data: bytes) -> tuple[str | None, list[dict]]:
             if not _CHAPTER.search(href):
                 continue
             page = book.read(f"{base}/{href}" if base else href).decode("utf-8", "replace")
-            meta = dict(_META.findall(page))
+            meta = {k: entities.unescape(v) for k, v in _META.findall(page)}
             body = re.search(r"(?is)<body[^>]*>(.*)</body>", page)
             inner = re.sub(r"(?is)^\s*<h[23][^>]*>.*?</h[23]>\s*", "", body[1] if body else page, count=1)
             out.append({"number": len(out) + 1, "name": href, "url": meta.get("chapterurl"), "origtitle": meta.get("chapterorigtitle"), "title": meta.get("chaptertitle"), "html": inner})
@@ -95,6 +96,41 @@ def books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_books, BOOK)
 
 
+def book_media(data: bytes) -> list[dict]:
+    """Images of an EPUB's bytes by name, with the url that a chapter gives for each."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        root = ET.fromstring(book.read("META-INF/container.xml"))
+        opf = next(e.attrib["full-path"] for e in root.iter() if _local(e.tag) == "rootfile")
+        base = opf.rpartition("/")[0]
+        items = [(e.attrib["href"], e.attrib["media-type"]) for e in ET.fromstring(book.read(opf)).iter() if _local(e.tag) == "item"]
+        at = lambda href: re.sub(r"[^/]+/\.\./", "", f"{base}/{href}" if base else href)
+        known = set(book.namelist())
+        origins: dict[str, str] = {}
+        for href, media in items:
+            if media == "application/xhtml+xml" and _CHAPTER.search(href) and at(href) in known:
+                page = book.read(at(href)).decode("utf-8", "replace")
+                for tag in re.findall(r"<img\b[^>]*>", page):
+                    found = {k: entities.unescape(v) for k, v in re.findall(r'\b(src|longdesc)="([^"]*)"', tag)}
+                    if {"src", "longdesc"} <= found.keys() and not found["src"].startswith(("data:image", "failedtoload")):
+                        origins.setdefault(re.sub(r"[^/]+/\.\./", "", f"{at(href).rpartition('/')[0]}/{found['src']}"), found["longdesc"])
+        return [{"name": at(href), "media_type": media, "url": origins.get(at(href)), "data": book.read(at(href))} for href, media in items if media.startswith("image/") and at(href) in known]
+
+
+MEDIA = "path string, name string, media_type string, url string, data binary"
+_MEDIA = pa.schema([("path", pa.string()), ("name", pa.string()), ("media_type", pa.string()), ("url", pa.string()), ("data", pa.binary())])
+
+
+def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_pylist([{"path": path, **m} for m in book_media(data)], schema=_MEDIA)
+
+
+def book_images(spark: SparkSession, path: str) -> DataFrame:
+    """Images of EPUB files: path, name, media_type, url (null if no chapter says where it came from), data."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_images, MEDIA)
+
+
 def book_counts(chapters: DataFrame, error_marker: str = "chapter-error") -> DataFrame:
     """Chapters of each book, those that failed left out."""
     return chapters.groupBy("path", "source").agg(F.count_if(F.col("url").isNull() | (F.col("url") != error_marker)).alias("chapters"))
