@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storyflow.functions import blocks, html, text
+from storyflow.functions import blocks, encodings, html, text
 from storyflow.plans.registry import query
 from storyflow.shared import table
 
@@ -69,3 +69,9 @@ def noscript_images(spark, sf):
     page = F.concat(F.lit("<p><i>a<noscript class=x><img src='"), "url", F.lit("'></noscript>"), "html")
     kept = F.regexp_extract(blocks.balanced(page), '<noscript class="x"><img src="([^"]*)" /></noscript>', 1)
     return table(spark, sf, "pages").select("page_id", kept.alias("source"))
+
+
+@query("select doc_id, text from documents")
+def encodings_told_apart(spark, sf):
+    data = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+    return table(spark, sf, "documents").select("doc_id", encodings.decoded(data, ("utf-8", "auto")).alias("text"))
