@@ -138,3 +138,14 @@ def series(name: Column, number: Column) -> Column:
     """``Name [2]``: whole numbers without decimals."""
     shown = F.when(number == F.floor(number), F.floor(number).cast("bigint").cast("string")).otherwise(number.cast("string"))
     return F.when(number.isNull(), name).otherwise(F.concat(name, F.lit(" ["), shown, F.lit("]")))
+
+
+def simple_cache_name(key: Column) -> Column:
+    """The name that the simple cache gives a key's file: eight bytes of its SHA-1, the last first, in hex."""
+    digest = F.sha1(key.cast("binary"))
+    return F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda i: F.substring(digest, i * 2 + 1, F.lit(2))), "")
+
+
+def firefox_cache_name(key: Column) -> Column:
+    """The same for the second Firefox cache: the SHA-1 in capitals."""
+    return F.upper(F.sha1(key.cast("binary")))

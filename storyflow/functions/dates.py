@@ -82,3 +82,35 @@ def newer_file(file_time: Column, source_time: Column) -> Column:
 
 def last_update_tags(date: Column) -> Column:
     return F.array(F.concat(F.lit("Last Update Year/Month: "), F.date_format(date, "yyyy/MM")), F.concat(F.lit("Last Update: "), F.date_format(date, "yyyy/MM/dd")))
+
+
+def clock_parsed(text: Column, form: str) -> Column:
+    """A date of a format with ``%p``, whatever the locale calls the halves of a day.
+
+    am and pm are cut out of the text. Twelve-hour clocks (``%I``) count 12 as 0 and
+    take 13 to 24-hour values as they are; with ``%H``, pm adds twelve hours to any.
+    """
+    plain = F.trim(F.regexp_replace(text, "AM|PM|am|pm", ""))
+    base = F.try_to_timestamp(plain, F.lit(java_pattern(form.replace("%p", "").replace("%I", "%H").strip())))
+    later = F.when(text.rlike("pm|PM"), F.expr("interval 12 hours")).otherwise(F.expr("interval 0 hours"))
+    if "%I" not in form:
+        return base + later
+    hour = F.hour(base)
+    early = F.when(hour == 12, base - F.expr("interval 12 hours")).otherwise(base)
+    return F.when(hour.between(1, 12), early + later).otherwise(base)
+
+
+def script_time(script: Column, shown: Column, *formats: str) -> Column:
+    """The seconds of a script's ``Date(milliseconds)``, else the date that is shown without scripts."""
+    told = F.regexp_extract(script, r"Date\(([0-9]+)[0-9]{3}\)", 1)
+    return F.coalesce(F.timestamp_seconds(F.nullif(told, F.lit("")).cast("bigint")), parsed(shown, *formats))
+
+
+def mixed(text: Column, now: Column, *formats: str) -> Column:
+    """struct<at, form> of "3 days ago" or a date by the first format that fits; ``form`` says which it was, null for none."""
+    ago = text.contains("ago")
+    forms = [F.when(ago, F.struct(relative(text, now).alias("at"), F.lit("relative").alias("form")))]
+    for form in formats:
+        at = F.when(~ago, parsed(text, form))
+        forms.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(form).alias("form"))))
+    return F.coalesce(*forms, F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("form")))

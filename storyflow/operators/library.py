@@ -136,3 +136,45 @@ def good_and_bad(stories: DataFrame, good: Column) -> tuple[DataFrame, DataFrame
 def list_order(books: DataFrame, by: str) -> DataFrame:
     """``listorder``: a book's place from 0 by a column."""
     return positions.placed(books, by, "listorder").withColumn("listorder", F.col("listorder") - 1)
+
+
+def result_marks(results: DataFrame, by: str, failed: str, chapter_error: str, prefix: str = "fff") -> DataFrame:
+    """``mark`` of each book of a batch, numbered from 0 in each list by ``by``.
+
+    Every book is in the list of all; one that failed gets that list's mark instead,
+    and one with a chapter error that one's.
+    """
+    lists = (("success", F.lit(True)), ("failed", F.col(failed)), ("chapter_error", F.col(chapter_error)))
+    out, marks = results, []
+    for name, inside in lists:
+        numbered = positions.placed(results.where(inside).select(by), by, "_place").select(by, F.format_string(f"{prefix}_{name}_%04d", F.col("_place") - 1).alias(f"_{name}"))
+        out = out.join(numbered, by, "left")
+        marks.insert(0, F.col(f"_{name}"))
+    return out.withColumn("mark", F.coalesce(*marks)).drop(*(f"_{name}" for name, _ in lists))
+
+
+def in_launch_order(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts with ``launched``, the part's place; a part's own ``ord`` orders its rows."""
+    whole = parts[0].withColumn("launched", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        whole = whole.unionByName(part.withColumn("launched", F.lit(k)), allowMissingColumns=True)
+    return whole
+
+
+def blanked(books: DataFrame, secrets: tuple[str, ...] = ("password", "username", "totp"), note: str = "(was set, removed for security)") -> DataFrame:
+    """Columns of secrets replaced by a note where they are set, before a row is shown."""
+    return books.withColumns({c: F.when(F.col(c).cast("string") != "", F.lit(note)).otherwise(F.col(c).cast("string")) for c in books.columns if c.lower() in secrets})
+
+
+def counters_summed(*counters: Column) -> Column:
+    """Sum of counters of one row; a missing one makes it null, as nothing is known then."""
+    total = counters[0].cast("bigint")
+    for counter in counters[1:]:
+        total = total + counter.cast("bigint")
+    return total
+
+
+def title_changes(new: DataFrame, old: DataFrame, key: str = "url") -> DataFrame:
+    """(key, old_title, new_title) of listed entries whose original title isn't what earlier output has."""
+    both = new.select(key, F.col("title").alias("new_title")).join(old.groupBy(key).agg(F.min("origtitle").alias("old_title")), key)
+    return both.where("new_title <> old_title").select(key, "old_title", "new_title")

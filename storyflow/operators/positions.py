@@ -88,3 +88,20 @@ def placed(df: DataFrame, rank: str, name: str = "place") -> DataFrame:
     sizes = spark.createDataFrame(list(before.items()) or [(0, 0)], "_range int, _before bigint")
     own = F.row_number().over(Window.partitionBy("_range").orderBy(rank))
     return held.join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + own).cast("bigint")).drop("_range", "_before")
+
+
+def series_places(listed: DataFrame, stories: DataFrame, series: str, page: str, place: str, link: str, pattern: str, story: str = "story_id") -> DataFrame:
+    """``stories`` with ``series`` and ``series_index``, their first place in a series' list over all its pages.
+
+    ``pattern``'s first group is the story's id in a link. A place counts all links
+    before it, whether they are of known stories or not. Places are partial counts
+    by page, so a long series is never sorted in one task.
+    """
+    sizes = listed.groupBy(series, page).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(series).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(series, page, before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy(series, page).orderBy(place))
+    rows = listed.withColumn("_w", within).join(starts, [series, page])
+    found = rows.select(F.col(series), F.regexp_extract(link, pattern, 1).alias("_id"), (F.col("_before") + F.col("_w")).alias("series_index")).where("_id <> ''")
+    first = found.groupBy("_id").agg(F.min(F.struct("series_index", series)).alias("_f")).select("_id", F.col(f"_f.{series}").alias("series"), F.col("_f.series_index").alias("series_index"))
+    return stories.join(first, F.col(story).cast("string") == F.col("_id"), "left").drop("_id")
