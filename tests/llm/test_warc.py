@@ -61,3 +61,20 @@ def test_pages_without_an_id_and_empty_tables(spark, tmp_path):
     assert {(r.page_id, r.status) for r in audited(spark, PAGES, PAGES[:-1])} == {(None, "missing")}
     assert warc.op6_warc(spark, cases.store(pages(spark, PAGES[:1]).where("false"), tmp_path / "a", "pages")).count() == 0
     assert {r.status for r in audited(spark, PAGES, [])} == {"missing"} and {r.status for r in audited(spark, [], PAGES)} == {"extra"}
+
+
+def test_negative_ids_and_none_are_kept_apart(spark):
+    rows = [(-5, "u", "five"), (-1, "u", "one"), (0, "u", "zero"), *[(None, f"n{i}", "none") for i in range(2500)]]
+    hurt = [(-5, "u", "changed"), *rows[1:]]
+    assert [(r.page_id, r.status, r.records_a, r.records_b) for r in audited(spark, rows, hurt)] == [(-5, "changed", 1, 1)]
+    assert {(r.page_id, r.status) for r in audited(spark, rows, rows[:3])} == {(None, "missing")}
+    assert sum(r.records_a for r in audited(spark, rows, rows[:3])) == 2500
+
+
+def test_wide_ids_have_a_short_plan(spark):
+    rows = [(1, "u", "a"), (2**60 + 7, "u", "b"), (-(2**63), "u", "c"), (2**63 - 1, "u", "d")]
+    found = warc.audited(*(warc.records(pages(spark, r)) for r in (rows, [*rows[:1], (2**60 + 7, "u", "x"), *rows[2:]])))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    row = found.first()
+    size = {r[0]: spark.range(1).select(warc.F.octet_length(warc.record(*(warc.F.lit(x) for x in r)))).first()[0] for r in rows}
+    assert found.count() == 1 and (row.page_id, row.status, row.offset_a) == (2**60 + 7, "changed", size[-(2**63)] + size[1])
