@@ -108,9 +108,8 @@ def comma_groups(text: Column) -> Column:
 
 
 def digits(text: Column) -> Column:
-    """The digits of a text as a number, null without any."""
-    only = F.regexp_replace(text, "[^0-9]", "")
-    return F.when(only != "", only.cast("bigint"))
+    """The digits of a text as a number, null without any or where they are more than a bigint holds."""
+    return F.regexp_replace(text, "[^0-9]", "").try_cast("bigint")
 
 
 def file_name(text: Column) -> Column:
@@ -157,9 +156,10 @@ def reduce_marks(most: int) -> Callable[[Column], Column]:
     return arrow_text(reduced) if most >= 0 else lambda c: c
 
 
-#: Cyrillic letters and what they are romanised to.
-CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", ["a", "b", "v", "g", "d", "e", "e", "zh", "z", "i", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "kh", "ts", "ch", "sh", "shch", "", "y", "", "e", "iu", "ia"], strict=True))
-_ROMAN = {ord(k): v for k, v in CYRILLIC.items()} | {ord(k.upper()): v.capitalize() for k, v in CYRILLIC.items()}
+#: Cyrillic letters and what they are romanised to; a capital becomes one but for those of ``_LOWER``.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ", ["a", "b", "v", "gh", "d", "ie", "io", "zh", "z", "i", "y", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "h", "ts", "ch", "sh", "shch", "'", "y", "'", "e", "yu", "ya", "i", "y", "ie", "g"], strict=True))
+_LOWER = "йъыьюяієґ"
+_ROMAN = {ord(k): v for k, v in CYRILLIC.items()} | {ord(k.upper()): v if k in _LOWER else v.capitalize() for k, v in CYRILLIC.items()}
 romanize = arrow_text(lambda t: t.translate(_ROMAN))
 
 

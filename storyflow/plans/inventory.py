@@ -23,10 +23,9 @@ def escape_and_template(spark, sf):
     return p.select("p_partkey", text.escape_xml(F.concat("p_name", F.lit(" <&> "), "p_brand")).alias("escaped"), text.template("${brand}: ${name} $$", values).alias("filled"))
 
 
-@query("select doc_id, nullif(regexp_replace(text, '[^0-9]', '', 'g'), '')[:15]::bigint as number from documents")
+@query("select doc_id, try_cast(regexp_replace(text, '[^0-9]', '', 'g') as bigint) as number from documents")
 def digits_only_number(spark, sf):
-    only = F.substring(F.regexp_replace("text", "[^0-9]", ""), 1, 15)
-    return table(spark, sf, "documents").select("doc_id", text.digits(only).alias("number"))
+    return table(spark, sf, "documents").select("doc_id", text.digits(F.col("text")).alias("number"))
 
 
 @query("select conv_id, turn, replace(replace(text, chr(13), ''), chr(10), chr(13) || chr(10)) as dos, regexp_replace(regexp_replace(text, '\\n\\s*\\n', '<p>', 'g'), '(?i)(?:\\s*<(?:p|br)\\s*/?>\\s*){2,}', '<p>', 'g') as squeezed from conversations")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyflow import config
-from storyflow.functions import binary, dates
+from storyflow.functions import binary, dates, text
 from storyflow.operators import library, positions, siterules
 from storyflow.operators.siterules import SiteRule
 
@@ -96,3 +96,8 @@ def test_cache_names(spark):
 
     digest = hashlib.sha1(b"1/0/_dk_http://a http://a http://a/b").digest()
     assert row.s == digest[7::-1].hex() and row.f == digest.hex().upper()
+
+
+def test_letters_and_long_numbers(spark):
+    rows = spark.createDataFrame([("Любя, съешь щипцы, — вздохнёт мэр", "12345678901234567890"), ("Юля Йод їжа", "9,223,372,036,854,775,807"), ("", "none"), (None, None)], "t string, d string")
+    assert [tuple(r) for r in rows.select(text.romanize(F.col("t")), text.digits(F.col("d"))).collect()] == [("Lyubya, s'iesh' shchiptsy, — vzdohniot mer", None), ("yulya yod yzha", 2**63 - 1), ("", None), (None, None)]
