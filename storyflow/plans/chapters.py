@@ -35,13 +35,12 @@ def chapter_range(spark, sf):
     return ranged.select("story", "number", F.length("text").cast("bigint").alias("chars"), listing.chapters_counted(F.col("chapters"), 2, 4).cast("bigint").alias("counted"))
 
 
-@query("""select conv_id as story, turn as pos, case when turn % 3 = 0 then role || ' ' || turn when turn % 3 = 1 then turn || '.1' else turn || '-' end as stripped
+@query("""select conv_id as story, turn as pos, case when turn % 3 = 0 then role || ' ' || turn when turn % 3 = 1 then turn || '.1' else '' end as stripped
   from conversations""")
 def chapter_title_strip(spark, sf):
     pos = F.col("pos").cast("string")
     title = F.when(F.col("pos") % 3 == 0, F.concat(pos, F.lit(". "), "role", F.lit(" "), pos)).when(F.col("pos") % 3 == 1, F.concat(pos, F.lit(".1"))).otherwise(F.concat(pos, F.lit("-")))
-    kept = F.when(F.col("pos") % 3 == 2, title).otherwise(text.without_number(title))
-    return _chapters(spark, sf).select("story", "pos", kept.alias("stripped"))
+    return _chapters(spark, sf).select("story", "pos", text.without_number(title).alias("stripped"))
 
 
 @query("select story, url, pos from (select conv_id as story, role || (turn // 3) as url, turn as pos, row_number() over (partition by conv_id, role || (turn // 3) order by turn) as n from conversations) where n = 1")

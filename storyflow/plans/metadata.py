@@ -111,12 +111,12 @@ def ships_sorted(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.element_at(ships, 1).alias("ship"))
 
 
-@query("""select p_partkey, p_brand || '; ' || replace(p_name, ' ', '; ') || '; ' || p_type || '; Book' as tags from part where len(list_distinct(list_concat([p_brand, p_type, 'Book'], string_split(p_name, ' ')))) = 3 + len(string_split(p_name, ' '))""")
+@query("""with t as (select p_partkey, list_filter(list_transform(list_concat([p_brand], string_split(p_name, ' '), [p_type], ['Book', 'Book']), lambda x: trim(x)), lambda x: x <> '') as x from part)
+  select p_partkey, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), '; ') as tags from t""")
 def subject_tags(spark, sf):
     entries = {"brand": F.array("p_brand"), "names": F.array(F.replace("p_name", F.lit(" "), F.lit(", "))), "type": F.array("p_type", F.lit(None).cast("string"))}
     tags = arrays.subject_tags(entries, ["brand", "names.SPLIT", "type_LIST"], ["Book", "Book"])
-    parts = table(spark, sf, "part").select("p_partkey", arrays.joined(tags, "; ").alias("tags"), F.size(tags).alias("n"), F.size(F.split("p_name", " ")).alias("m"))
-    return parts.where("n = m + 3").select("p_partkey", "tags")
+    return table(spark, sf, "part").select("p_partkey", arrays.joined(tags, "; ").alias("tags"))
 
 
 @query("""select doc_id, case lang when 'en' then 'en' when 'de' then 'de' when 'fr' then 'fr' when 'es' then 'es' else 'en' end as code from documents""")
@@ -141,11 +141,13 @@ def zip_links_html(spark, sf):
     return orders.select("l_orderkey", arrays.joined(arrays.links(F.col("brands"), fewer)).alias("links"), F.coalesce(same, F.lit(False)).alias("same_size"))
 
 
-@query("""select p_partkey, p_brand || ', ' || upper(split_part(p_name, ' ', 1)) || ', ' || split_part(p_name, ' ', 2) as tags from part where split_part(p_name, ' ', 2) <> '' and lower(split_part(p_name, ' ', 1)) <> lower(split_part(p_name, ' ', 2))""")
+@query("""with p as (select p_partkey, p_brand, string_split(p_name, ' ') as ws from part)
+  select p_partkey, array_to_string(list_concat(case when list_contains(list_transform(ws, lambda w: lower(w)), lower(p_brand)) then cast([] as varchar[]) else [p_brand] end,
+    list_transform(ws, lambda w: case when lower(w) = lower(p_brand) then p_brand when lower(w) = lower(ws[1]) then upper(ws[1]) else w end)), ', ') as tags from p""")
 def case_insensitive_tag_union(spark, sf):
     words = F.split("p_name", " ")
-    parts = table(spark, sf, "part").where((F.size(words) > 1) & (F.lower(words[0]) != F.lower(words[1])))
-    old, new = F.array("p_brand", F.upper(words[0])), F.array(words[0], words[1])
+    parts = table(spark, sf, "part")
+    old, new = F.array("p_brand", F.upper(words[0])), words
     return parts.select("p_partkey", arrays.joined(arrays.case_insensitive_union(old, new)).alias("tags"))
 
 

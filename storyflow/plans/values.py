@@ -65,10 +65,13 @@ def fit_box(spark, sf):
     return boxes.select("p_partkey", scaled.alias("scaled"), width.alias("width"), height.alias("height"))
 
 
-@query("select code, plain from (values ('422b2f236c2127', 'ima.ce'), ('7f3c3f', 'C@')) as t(code, plain)")
+@query("select c_custkey, replace(lower(c_name), '#', '+&amp;') || '@mail.' || c_nationkey as plain from customer")
 def email_decode(spark, sf):
-    codes = spark.createDataFrame([("422b2f236c2127",), ("7f3c3f",)], "code string")
-    return codes.select("code", text.decode_email(F.col("code")).alias("plain"))
+    key = (F.col("c_custkey") % 256).cast("int")
+    address = F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit("+&")), F.lit("@mail."), F.col("c_nationkey").cast("string"))
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    code = F.concat(byte(key), F.array_join(F.transform(F.sequence(F.lit(1), F.length(address)), lambda i: byte(F.ascii(F.substring(address, i, F.lit(1))).bitwiseXOR(key))), ""))
+    return table(spark, sf, "customer").select("c_custkey", text.decode_email(code).alias("plain"))
 
 
 @query("""select o_orderkey, case when o_orderstatus = 'F' then true when o_orderstatus = 'O' then false end as flag,
@@ -94,17 +97,23 @@ def page_sequence(spark, sf):
     return table(spark, sf, "documents").select("doc_id", urls.page_of(F.col("doc_id"), 10).alias("page"), F.lpad((F.col("doc_id") % 10).cast("string"), 2, "0").alias("post"))
 
 
-@query("select o_orderkey, (o_orderkey // 86400)::bigint as days, o_orderdate > o_orderdate - interval 1 hour as newer from orders")
+@query("""with f as (select *, o_orderdate + to_hours(o_orderkey % 49 - 24) as changed, o_orderdate + to_minutes(case when o_orderkey % 2 = 0 then 0 else 61 end) as source from orders)
+  select o_orderkey, (o_orderkey // 86400)::bigint as days, case when date_trunc('day', source) = source then changed::date > source::date else changed > source end as newer from f""")
 def file_date_gate(spark, sf):
-    date = F.col("o_orderdate")
-    newer = dates.newer_file(date + F.expr("interval 1 day"), date)
-    return table(spark, sf, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 86400).cast("bigint").alias("days"), newer.alias("newer"))
+    date = F.col("o_orderdate").cast("timestamp")
+    changed = date + F.make_dt_interval(hours=(F.col("o_orderkey") % 49 - 24).cast("int"))
+    source = date + F.make_dt_interval(mins=F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(61))
+    return table(spark, sf, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 86400).cast("bigint").alias("days"), dates.newer_file(changed, source).alias("newer"))
 
 
-@query("""select said, shown from (values (90061, '1 day, 1 hour'), (59, '59 seconds'), (3600, '1 hour'), (7325, '2 hours, 2 minutes'), (0, '')) as t(said, shown)""")
+@query("""with s as (select o_orderkey, (case o_orderkey % 4 when 0 then o_orderkey % 61 when 1 then o_orderkey * 7 % 3700 when 2 then o_orderkey * 61 % 90000 else o_orderkey * 3607 % 2000000 end)::bigint as said from orders),
+  u as (select *, [[said // 86400], [said % 86400 // 3600], [said % 3600 // 60], [said % 60]] as n from s),
+  p as (select *, list_filter(list_transform(n, lambda x, i: case when x[1] = 0 then '' else x[1] || ' ' || ['day', 'hour', 'minute', 'second'][i] || case when x[1] = 1 then '' else 's' end end), lambda x: x <> '') as parts from u)
+  select o_orderkey, said, array_to_string(parts[1:2], ', ') as shown from p""")
 def durations(spark, sf):
-    said = spark.createDataFrame([(90061,), (59,), (3600,), (7325,), (0,)], "said int")
-    return said.select("said", dates.two_units(F.col("said")).alias("shown"))
+    k = F.col("o_orderkey")
+    said = F.when(k % 4 == 0, k % 61).when(k % 4 == 1, k * 7 % 3700).when(k % 4 == 2, k * 61 % 90000).otherwise(k * 3607 % 2000000)
+    return table(spark, sf, "orders").select("o_orderkey", said.cast("bigint").alias("said"), dates.two_units(said.cast("int")).alias("shown"))
 
 
 @query("""select l_orderkey, round(sum(l_quantity), 4) as total, round(avg(l_quantity), 4) as mean, max(l_quantity) as most from lineitem group by l_orderkey""")
