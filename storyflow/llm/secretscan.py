@@ -8,7 +8,10 @@ hold the blob. Rows of older ledgers have no digest and are scanned again.
 
 Positions come from the text itself: ``split`` by a pattern gives the gaps
 between its leftmost non-overlapping matches, ``regexp_extract_all`` the
-matches; their running lengths are the offsets, in code points.
+matches; their running lengths are the offsets, in code points. Running sums and
+maxima go by blocks of the square root of an array's size, and masking cuts pieces
+out of short chunks of the text, so a text of very many findings costs little more
+than its length.
 
 Defined cases: a null text counts as empty and has no findings. Repeated rows
 are scanned once and all get the findings. A run that died may have left rows
@@ -48,12 +51,14 @@ PRIVATE_KEY = (
     r"|(?:\\r)?\\n[A-Za-z0-9+/=]++|[ \t]++[A-Za-z0-9+/=]{40,}+)*+)"
 )
 #: Fixed values. ``access`` and ``hex`` carry their lengths in the pattern:
-#: matches are whole runs, so no shorter run could have hidden a longer one.
+#: matches are whole runs, so no shorter run could have hidden a longer one. A run
+#: that begins as a ``jwt`` but isn't one is matched without its group and dropped,
+#: so it isn't looked at again from every place in it.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)|eyJ[A-Za-z0-9_-]*+", 1),
     Rule("private_key", PRIVATE_KEY),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
@@ -67,6 +72,34 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, though lambdas use it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, merge, first: int) -> Column:
+    """For each member of an int array, what ``merge`` makes of all before it, from ``first`` on."""
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, F.lit(first), merge)
+
+    def each(part: Column) -> Column:
+        return F.transform(part, lambda _, i: folded(F.slice(part, F.lit(1), i)))
+
+    def by_blocks(held: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(held))), F.lit(1)).cast("int")
+        count = F.ceil(F.size(held) / width).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(held, k * width + 1, width))
+
+        def joined(found: Column) -> Column:
+            starts = _let(F.transform(found, folded), each)
+            return F.flatten(F.zip_with(found, starts, lambda part, start: F.transform(each(part), lambda x: merge(x, start))))
+
+        return F.when(F.size(held) > 0, _let(blocks, joined)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    return _let(values, by_blocks)
+
+
 def _spans(text: Column, no: int, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
     gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
@@ -74,15 +107,13 @@ def _spans(text: Column, no: int, rule: Rule) -> Column:
     value = F.transform(F.regexp_extract_all(text, pattern, rule.group), F.char_length)
     matches = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)), whole, value)
     matches = matches.cast("array<struct<gap:int,whole:int,value:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("spans"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + m["whole"]
-        span = F.struct(begin.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(m["value"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def placed(held: Column) -> Column:
+        before = _before(F.transform(held, lambda m: m["gap"] + m["whole"]), lambda a, x: a + x, 0)
+        spans = F.zip_with(held, before, lambda m, at: F.struct((at + m["gap"]).alias("start"), F.lit(no).alias("no"), (at + m["gap"] + m["whole"]).alias("end"), F.lit(rule.kind).alias("kind"), m["value"].alias("value")))
+        return F.transform(F.filter(spans, lambda s: s["value"] >= rule.least), lambda s: F.struct(*(s[c].alias(c) for c in ("start", "no", "end", "kind"))))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(matches, start, step, lambda acc: acc["spans"])).otherwise(F.expr(_NONE))
+    return F.when(text.rlike(rule.pattern), _let(matches, placed)).otherwise(F.expr(_NONE))
 
 
 def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -123,15 +154,29 @@ def findings(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "
     return paths.join(found, "blob", "left").select("doc_id", F.coalesce("spans", F.expr(_NONE)).alias("spans"))
 
 
+#: Code points of the chunks out of which masking cuts.
+CHUNK = 4096
+
+
 def mask(text: Column, spans: Column, by: str = MASK) -> Column:
     """``text`` with every run of overlapping spans replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    def cut_out(chunks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        chunk = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+        within = F.substring(chunk(first), start % CHUNK + 1, end - start)
+        across = F.concat(F.substring(chunk(first), start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), F.substring(chunk(last), F.lit(1), end % CHUNK))
+        return F.when(first == last, within).otherwise(across)
+
+    def masked(chunks: Column) -> Column:
+        def pieces(held: Column) -> Column:
+            before = _before(F.transform(held, lambda s: s["end"]), lambda a, x: F.greatest(a, x), 0)
+            kept = F.zip_with(held, before, lambda s, at: F.when(s["start"] >= at, F.concat(cut_out(chunks, at, s["start"]), F.lit(by))).otherwise(""))
+            return F.concat(F.array_join(kept, ""), _let(F.array_max(F.transform(held, lambda s: s["end"])), lambda at: cut_out(chunks, at, F.char_length(text))))
+
+        return _let(spans, pieces)
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), masked)).otherwise(text)
 
 
 def redact(docs: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:

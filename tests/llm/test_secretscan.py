@@ -4,6 +4,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from storyflow.llm import secretscan
 from storyflow.shared import fresh_path, table
 
@@ -125,3 +127,28 @@ def test_other_rules_scan_known_blobs_again(spark):
     assert secretscan.redact(df, path, rules=rules).first().text == "token=abcdefgh [SECRET]"
     assert spark.read.parquet(path).count() == 2
     assert secretscan.findings(df, path, version="9").count() == 1 and spark.read.parquet(path).count() == 3
+
+
+def test_very_many_findings_and_near_misses_stay_linear(spark):
+    import time
+
+    many = "é password=abc123 " * 40_000
+    texts = [(1, "eyJabcde" * 100_000), (2, many), (3, "AKIA" * 200_000), (4, "eyJaaa.eyJbbbbbbbb.cccccccc.dd x"), (5, "eyJaaaaaaaa.eyJbbbbbbbb")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in df.select("doc_id", secretscan.spans_of(F.col("text")).alias("s"), secretscan.mask(F.col("text"), secretscan.spans_of(F.col("text"))).alias("m")).collect()}
+    assert time.time() - began < 90
+    assert not got[1].s and got[1].m == texts[0][1] and not got[5].s
+    assert len(got[2].s) == 40_000 and got[2].m == "é [SECRET] " * 40_000
+    assert [(s.start, s.end) for s in got[2].s[:2]] == [(2, 17), (20, 35)]
+    assert len(got[3].s) == 1 and got[3].m == "[SECRET]"
+    assert [(s.kind, s.start, s.end) for s in got[4].s] == [("jwt", 7, 30)]
+
+
+def test_masks_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(secretscan, "CHUNK", 7)
+    text = "aé😀 token=abcdef123 " * 9 + "tail é"
+    want = "aé😀 [SECRET] " * 9 + "tail é"
+    df = spark.createDataFrame([(text,), ("",), ("plain é text that is long",)], "text string")
+    got = [r.m for r in df.select(secretscan.mask(F.col("text"), secretscan.spans_of(F.col("text"))).alias("m")).collect()]
+    assert got == [want, "", "plain é text that is long"]
