@@ -125,3 +125,13 @@ def test_css(spark):
     css = "a{b:url( 'x.png')} c{d:url(x.png)url(\"x.png\")} e{f:url(y.TTF)} g{h:url()} i{j:url(unknown)}"
     got = spark.createDataFrame([(css,), ("plain",), (None,)], "css string").select(html.css_relinked(F.col("css"), F.create_map(F.lit("x.png"), F.lit("n$1.png"), F.lit("y.TTF"), F.lit("no"))).alias("r"))
     assert [r.r for r in got.collect()] == ["a{b:url( 'x.png')} c{d:url(n$1.png)url(\"n$1.png\")} e{f:url(y.TTF)} g{h:url()} i{j:url(unknown)}", "plain", None]
+
+
+@pytest.mark.parametrize("markup", ["<title>a&am</title>", "<p>a&amp<b>b&#38 c</b> &lt;</p>", "AT&T", "a&", "<p>&&am</p>"])
+def test_texts_keep_entities_without_an_end(markup):
+    assert blocks.balance(markup) == markup
+    assert html.clean_markup(markup) == markup
+
+
+def test_text_of_an_unclosed_title_stays():
+    assert blocks.balance("<title>a &am") == "<title>a &am</title>"
