@@ -101,3 +101,11 @@ def test_cache_names(spark):
 def test_letters_and_long_numbers(spark):
     rows = spark.createDataFrame([("Любя, съешь щипцы, — вздохнёт мэр", "12345678901234567890"), ("Юля Йод їжа", "9,223,372,036,854,775,807"), ("", "none"), (None, None)], "t string, d string")
     assert [tuple(r) for r in rows.select(text.romanize(F.col("t")), text.digits(F.col("d"))).collect()] == [("Lyubya, s'iesh' shchiptsy, — vzdohniot mer", None), ("yulya yod yzha", 2**63 - 1), ("", None), (None, None)]
+
+
+def test_values_of_site_entries_follow_their_sql(spark, tmp_path):
+    from storyflow.plans import sites
+
+    html = '<html lang="en"><title> a = &quot;b &amp; c </title><h1>x</h1><h1> </h1></html>'
+    spark.createDataFrame([(1, "https://a.example.com/x", html)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sites.site_entries(spark, str(tmp_path)).collect() == [(1, "a = &quot;b & c", "en", 1)]
