@@ -13,19 +13,36 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storyflow.functions.udf import lazy
 
 
+#: Bytes of text that a task turns into Python objects at once; one text longer than this is still handled whole.
+SLICE_BYTES = 1 << 20
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive slices of at most ``SLICE_BYTES``, or one text each."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and total + n > SLICE_BYTES:
+            yield texts.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    yield texts.slice(start)
+
+
 def arrow_text(fn: Callable[[str], object], kind: str = "string", arrow: pa.DataType | None = None) -> Callable[[Column], Column]:
     """A Python function of one text as an Arrow UDF; nulls pass by."""
     arrow = arrow or pa.string()
 
     def mapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([None if x is None else fn(x) for x in batch.to_pylist()], arrow)
+            for part in slices(batch):
+                yield pa.array([None if x is None else fn(x) for x in part.to_pylist()], arrow)
 
     mapped.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return lazy(mapped, kind)
@@ -235,12 +252,22 @@ def mask_url_secrets(url: Column) -> Column:
     return F.regexp_replace(url, r"(?i)((?:pass(?:word)?|name|login)[^=&?]?=)[^&]*", "$1XXXXXXXX")
 
 
+def _unmasked(code: str) -> str:
+    digits = "0123456789abcdef"
+    if re.fullmatch("(?:[0-9a-fA-F]{2})+", code):
+        key, *rest = bytes.fromhex(code)
+    else:  # of a pair that isn't hex counts what begins as hex
+        pairs = [code[i : i + 2].lower() for i in range(0, len(code) - 1, 2)]
+        key, *rest = [int(p if p[1] in digits else p[0], 16) if p[0] in digits else 0 for p in pairs] or [0]
+    return "".join(chr(b ^ key) for b in rest)
+
+
+_unmask = arrow_text(_unmasked)
+
+
 def decode_email(code: Column) -> Column:
     """Hex whose first byte was combined into every other one by exclusive or."""
-    key = F.conv(F.substring(code, 1, 2), 16, 10).cast("int")
-    n = (F.length(code) / 2).cast("int")
-    chars = F.transform(F.sequence(F.lit(2), n), lambda i: F.char(F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(key)))
-    return F.when(n > 1, escape_xml(F.array_join(chars, ""))).otherwise("")
+    return escape_xml(_unmask(code))
 
 
 def decode_bytes(data: Column, fallback: str = "windows-1252") -> Column:

@@ -70,7 +70,9 @@ def email_decode(spark, sf):
     key = (F.col("c_custkey") % 256).cast("int")
     address = F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit("+&")), F.lit("@mail."), F.col("c_nationkey").cast("string"))
     byte = lambda x: F.lpad(F.hex(x), 2, "0")
-    code = F.concat(byte(key), F.array_join(F.transform(F.sequence(F.lit(1), F.length(address)), lambda i: byte(F.ascii(F.substring(address, i, F.lit(1))).bitwiseXOR(key))), ""))
+    # A variable of a lambda holds the address, which is computed once a row.
+    hidden = F.transform(F.array(address), lambda a: F.array_join(F.transform(F.split(a, ""), lambda c: byte(F.ascii(c).bitwiseXOR(key))), ""))[0]
+    code = F.concat(byte(key), hidden)
     return table(spark, sf, "customer").select("c_custkey", text.decode_email(code).alias("plain"))
 
 

@@ -128,3 +128,25 @@ def test_html_cleaning(spark):
     rows = one(spark, html.metadata_entries(C("x")), x='<div class="metadata"><div class="int" id="numWords">1,200</div></div>')
     assert [tuple(r) for r in rows] == [("numWords", "int", "1,200")]
     assert one(spark, html.elements(C("x")), x='<a href="u">t<b>x</b></a>')[0].text == "tx"
+
+
+def test_a_computed_code_is_decoded_once(spark):
+    code = F.concat(F.lit("58"), F.upper("x"))
+    assert str(text.decode_email(code)).count("upper") <= 1
+    assert one(spark, text.decode_email(code), x="2b7e64") == "s&amp;&lt;"
+    for odd, want in (("", ""), ("58", ""), ("582", ""), ("zz11", "\x11"), ("58 2b", "s"), (None, None)):
+        assert one(spark, text.decode_email(C("x")), x=odd) == want
+
+
+def test_texts_become_objects_slice_by_slice(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "SLICE_BYTES", 8)
+    texts = pa.array(["aaaa", None, "bbbb", "c" * 20, "d", ""])
+    assert [p.to_pylist() for p in text.slices(texts)] == [["aaaa", None, "bbbb"], ["c" * 20], ["d", ""]]
+    assert [p.to_pylist() for p in text.slices(pa.array([], pa.string()))] == [[]]
+
+
+def test_texts_of_open_elements():
+    found = html._elements("<div>a<p>b<i>c</p>d<br>e</div>f<b>g")
+    assert [(e["tag"], e["text"]) for e in found] == [("div", "abcde"), ("p", "bc"), ("i", "c"), ("br", ""), ("b", "g")]
