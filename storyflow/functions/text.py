@@ -257,8 +257,8 @@ def _unmasked(code: str) -> str:
     if re.fullmatch("(?:[0-9a-fA-F]{2})+", code):
         key, *rest = bytes.fromhex(code)
     else:  # of a pair that isn't hex counts what begins as hex
-        pairs = [code[i : i + 2].lower() for i in range(0, len(code) - 1, 2)]
-        key, *rest = [int(p if p[1] in digits else p[0], 16) if p[0] in digits else 0 for p in pairs] or [0]
+        pairs = [code[i : i + 2].strip().lower() or "0" for i in range(0, len(code) - 1, 2)]
+        key, *rest = [int(p if p[-1] in digits else p[0], 16) if p[0] in digits else 0 for p in pairs] or [0]
     return "".join(chr(b ^ key) for b in rest)
 
 
