@@ -215,14 +215,17 @@ def redirects(spark, start: DataFrame, moves: DataFrame) -> DataFrame:
 
     Every round doubles the length of the known paths, until none is longer than
     before: log2 of the longest chain, and of all moves where there are cycles.
-    Of several locations of a url the least counts; null locations are none.
+    Of several locations of a url the least counts; null locations are none. More
+    than ``SMALL`` moves are joined by a shuffle, so none of the rounds sends them
+    through the driver.
     """
     hops = moves.where("location is not null").groupBy(F.col("url").alias("_from")).agg(F.min("location").alias("_to"))
     hops, path = cut(hops, "redirects")
     most, on = hops.count(), True
+    beside = lambda df: df.hint("merge") if most > SMALL else df
     for _ in range(max(1, most).bit_length() + 1):
         nxt = hops.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
-        longer, newer = cut(hops.join(nxt, hops["_to"] == nxt["_mid"], "left").select("_from", F.coalesce("_end", "_to").alias("_to"), F.col("_end").isNotNull().alias("_on")), "redirects")
+        longer, newer = cut(hops.join(beside(nxt), hops["_to"] == nxt["_mid"], "left").select("_from", F.coalesce("_end", "_to").alias("_to"), F.col("_end").isNotNull().alias("_on")), "redirects")
         drop(spark, path)
         hops, path = longer.select("_from", "_to"), newer
         on = not longer.where("_on").isEmpty()
@@ -230,9 +233,9 @@ def redirects(spark, start: DataFrame, moves: DataFrame) -> DataFrame:
             break
     if on:  # only paths into cycles still move
         sources = hops.select(F.col("_from").alias("_mid"))
-        hops = hops.join(sources, hops["_to"] == sources["_mid"], "left").select("_from", F.when(F.col("_mid").isNull(), F.col("_to")).alias("_to"))
+        hops = hops.join(beside(sources), hops["_to"] == sources["_mid"], "left").select("_from", F.when(F.col("_mid").isNull(), F.col("_to")).alias("_to"))
     known = hops.withColumn("_known", F.lit(True))
-    return start.join(known, start["url"] == known["_from"], "left").select(start["*"], F.when(F.col("_known"), F.col("_to")).otherwise(F.col("url")).alias("final_url"))
+    return start.join(beside(known), start["url"] == known["_from"], "left").select(start["*"], F.when(F.col("_known"), F.col("_to")).otherwise(F.col("url")).alias("final_url"))
 
 
 def latest_cached(cache: DataFrame, now: Column, hours: float | None) -> DataFrame:

@@ -31,6 +31,14 @@ def test_long_chains_of_redirects_end(spark):
     assert {r.url: r.final_url for r in lookups.redirects(spark, start, moves).collect()} == {0: 0, 40: 0, 59: 0, 60: 0, 99: None, 100: None, 7000: 7000}
 
 
+def test_many_redirects_are_not_broadcast(spark, monkeypatch):
+    moves = spark.range(1, 61).selectExpr("id as url", "id - 1 as location")
+    monkeypatch.setattr(lookups, "SMALL", 10)
+    ends = lookups.redirects(spark, spark.range(70).withColumnRenamed("id", "url"), moves)
+    assert "BroadcastExchange" not in ends._jdf.queryExecution().executedPlan().toString()
+    assert {r.url: r.final_url for r in ends.collect()} == {i: 0 if i <= 60 else i for i in range(70)}
+
+
 def test_update_decisions(spark):
     rows = spark.createDataFrame([(3, 3), (5, 3), (0, 3), (2, 3)], "o int, n int")
     assert [r.d for r in rows.select(listing.decision(F.col("o"), F.col("n")).alias("d")).collect()] == ["skip", "warn", "refuse", "update"]
