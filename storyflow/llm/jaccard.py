@@ -10,7 +10,11 @@
 3. Where the first common shingle of a similar pair lies in both is bounded by
    what may follow it: pairs that miss this are passed over, and a bucket in which
    no set can be the shorter one of a pair is dropped.
-4. Where few pairs are left, they are compared: first by counts of their hashes in
+4. The Gray-order index of ``simhash`` names near copies first: sets whose
+   fingerprints, of the same shingles, differ in few bits. Those that are similar,
+   compared as below, are components from the start. What is less alike than the
+   index reaches is left to the buckets.
+5. Where few pairs are left, they are compared: first by counts of their hashes in
    cells, which bound what they have in common, then exactly. Where more than
    ``PAIRS`` a set are, the sets of each bucket are compared with its first one,
    linked sets become components, and only pairs between components are left; that
@@ -30,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyflow.llm.arrowtext import text_column
-from storyflow.llm.simhash import SEED, components
+from storyflow.llm.simhash import SEED, components, majority
+from storyflow.llm.simhash import links as index_links
 from storyflow.shared import cut, drop
 
 SHINGLE, SIMILARITY, PAIRS = 5, 0.8, 64
@@ -76,14 +81,15 @@ def _names(owns: list[np.ndarray], seed: int) -> pa.Array:
 
 
 def sets(frequent, size: int = SHINGLE, least: float = SIMILARITY) -> "callable":
-    """Column function: struct<set, other, n, first> of a text: two hashes of its set, the set's size and its first shingles."""
+    """Column function: struct<set, other, n, first, fp> of a text: two hashes of its set, the set's size, its first shingles and its fingerprint."""
 
     def found(texts: list[bytes | None]) -> pa.Array:
         owns = [hashes(t, size) for t in texts]
         first = _lists([first_shingles(o, frequent.value, least) for o in owns])
-        return pa.StructArray.from_arrays([_names(owns, SEED), _names(owns, SEED + 1), pa.array([len(o) for o in owns], pa.int32()), first], names=["set", "other", "n", "first"])
+        fp = pa.array(np.array([majority(o) for o in owns], np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([_names(owns, SEED), _names(owns, SEED + 1), pa.array([len(o) for o in owns], pa.int32()), first, fp], names=["set", "other", "n", "first", "fp"])
 
-    return text_column(found, "struct<set:bigint,other:bigint,n:int,first:array<bigint>>")
+    return text_column(found, "struct<set:bigint,other:bigint,n:int,first:array<bigint>,fp:bigint>")
 
 
 def shingles(size: int = SHINGLE) -> "callable":
@@ -185,6 +191,24 @@ def _similar(pairs: DataFrame, own: DataFrame, texts: DataFrame, size: int, leas
     return found
 
 
+def by_index(own: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between similar sets that the Gray-order index names, written.
+
+    Sets of one fingerprint are compared with the smallest of them, and those with
+    the smallest of each fingerprint that the index links to theirs.
+    """
+    spark = own.sparkSession
+    firsts, first = cut(own.groupBy("fp").agg(F.min("set").alias("of_fp")), "fingerprints")
+    named = lambda fp, of: firsts.select(F.col("fp").alias(fp), F.col("of_fp").alias(of))
+    across = index_links(firsts.select("fp")).join(named("a", "x"), "a").join(named("b", "y"), "b")
+    within = own.select("set", "fp").distinct().join(firsts, "fp").where("set <> of_fp").select(F.col("set").alias("a"), F.col("of_fp").alias("b"))
+    pairs, second = cut(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).union(within).distinct(), "pairs")
+    found = _similar(pairs, own, texts, size, least)
+    for path in (first, second):
+        drop(spark, path)
+    return found
+
+
 def _shared(spread: DataFrame, least: float) -> DataFrame:
     """Rows (bucket, ...) of buckets with several sets, one of which can be the shorter of a pair.
 
@@ -212,7 +236,7 @@ def _rooted(members: DataFrame, roots: DataFrame, least: float) -> DataFrame:
 
 
 def links(own: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between different sets of a table with set, n, first, key.
+    """Links (a, b) between different sets of a table with set, n, first, fp, key.
 
     ``texts`` (column text) are read again for the sets that share a bucket, so
     the hashes of all others are never stored or shuffled.
@@ -226,6 +250,12 @@ def links(own: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float =
     members, before = _shared(spread, least)
     n = members.select("set").distinct().count()
     roots, turn, grown = None, 0, True
+    begun = by_index(own, texts, size, least)
+    if not begun.isEmpty():
+        roots = components(begun)
+        members, after = cut(_rooted(members, roots, least), "members")
+        drop(spark, before)
+        before = after
     its = [F.col(c).alias(f"its_{c}") for c in ("set", "n", "at", "root")]
     while True:
         sizes = members.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("k"), F.count_if(_can_begin(least)).cast("double").alias("i"))

@@ -43,6 +43,15 @@ BATCH, LINK_BATCH = 2048, 512
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     """Majority of the bits of all shingles' XXH64, as an unsigned integer."""
     words = (text or b"").lower().split()
@@ -50,12 +59,7 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
         return 0
     shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
 
 
 def fingerprints(size: int = SHINGLE) -> "callable":

@@ -98,3 +98,14 @@ def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
     got = {r.doc_id: r.root for r in jaccard.near_duplicates(df).collect()}
     assert len(set(got.values())) == 1500 and got[0] == got[1500] and got[1] == got[1501]
     assert sum(seen) < 100
+
+
+def test_the_gray_index_names_near_copies_first(spark):
+    base = [f"w{i}" for i in range(3000)]
+    other = [f"v{i}" for i in range(3000)]
+    texts = [" ".join(base), " ".join(base + ["end"]), " ".join(other), " ".join(["start"] + other), "one text alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    frequent = jaccard.frequent_shingles(docs.select("text"))
+    own = docs.selectExpr("doc_id", "sha2(text, 256) as key", "text").withColumn("s", jaccard.sets(frequent)("text")).select("doc_id", "key", "s.*").cache()
+    of = {r.set: r.doc_id for r in own.collect()}
+    assert {frozenset((of[r.a], of[r.b])) for r in jaccard.by_index(own, docs.select("text")).collect()} == {frozenset((0, 1)), frozenset((2, 3))}
