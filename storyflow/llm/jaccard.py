@@ -14,12 +14,17 @@
    fingerprints, of the same shingles, differ in few bits. Those that are similar,
    compared as below, are components from the start. What is less alike than the
    index reaches is left to the buckets.
-5. Where few pairs are left, they are compared: first by counts of their hashes in
-   cells, which bound what they have in common, then exactly. Where more than
-   ``PAIRS`` a set are, the sets of each bucket are compared with its first one,
-   linked sets become components, and only pairs between components are left; that
-   goes on, with other first ones, while it finds links. So a large group of near
-   copies isn't compared pair by pair, and no link between components is lost.
+5. Then rounds: each set is compared with one other, the first of all that are the
+   first of one of its buckets; linked sets become components, and only pairs
+   between components are left. First comes what has fewest shingles of its own, as the
+   text has that a group's others are copies of; later rounds take others, while
+   they find links and more than ``PAIRS`` a set may be left. So copies of one text,
+   however many, take a comparison a set, and no link between components is lost.
+6. What is left is compared pair by pair. A pair is named by the first bucket that
+   it shares: a set's row has the ``BEFORE`` buckets before it, and where two sets
+   share one of those, an earlier bucket has named them.
+   Sets are compared by counts of their hashes in cells, which bound what they have
+   in common, then exactly.
 
 Defined cases: words are those between ASCII white space, A-Z in lower case. A
 text of fewer words than a shingle is one shingle; texts without words are equal.
@@ -30,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyflow.llm.arrowtext import text_column
@@ -43,8 +48,10 @@ SHINGLE, SIMILARITY, PAIRS = 5, 0.8, 64
 LOOKED = 2_000
 #: Cells by which two sets' hashes are counted before they are compared.
 CELLS = 256
-#: Hashes of 8 bytes, or as many bytes of counts and pairs, that are named to every task; more are joined by a shuffle.
-VALUES = 4_000_000
+#: Pairs that are named to every task, 16 bytes each; more are joined by a shuffle, as what is compared always is.
+NAMED = 250_000
+#: Buckets of a set before a bucket of its, by which two sets' first common one is known.
+BEFORE = 4
 #: Texts that are looked at for frequent shingles, in how many of them a shingle counts as one, and the most that are named to every task.
 SAMPLE, REPEATED, FREQUENT = 4_096, 3, 262_144
 #: Texts that are named to every task, 64 bytes each; more are joined by a shuffle.
@@ -151,14 +158,12 @@ def _of_sets(pairs: DataFrame, own: DataFrame, texts: DataFrame, column: "callab
     return held
 
 
-def _both(pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
-    """Pairs with both sets' values, of ``width`` bytes each; what is small enough is named to every task."""
-    if pairs.count() <= VALUES // 4:
+def _both(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs with both sets' values; the values meet in shuffles, never on the driver."""
+    if pairs.count() <= NAMED:
         pairs = F.broadcast(pairs)
     x, y = held.select(F.col("set").alias("a"), F.col("value").alias("x")), held.select(F.col("set").alias("b"), F.col("value").alias("y"))
-    if (held.agg(F.sum(F.size("value"))).first()[0] or 0) * width <= VALUES * 8:
-        y = F.broadcast(y)
-    return x.join(pairs, "a").join(y, "b")
+    return x.join(pairs, "a").join(y.hint("merge"), "b")
 
 
 def _similar(pairs: DataFrame, own: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -173,12 +178,12 @@ def _similar(pairs: DataFrame, own: DataFrame, texts: DataFrame, size: int, leas
     told, first = _of_sets(pairs, own, texts, counts(size))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
     may = (1 + least) * F.aggregate(F.zip_with("x", "y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x) + _SLACK >= least * (total(F.col("x")) + total(F.col("y")))
-    near, second = cut(_both(pairs, told, 2).where(F.coalesce(may, F.lit(True))).select("a", "b"), "near")
+    near, second = cut(_both(pairs, told).where(F.coalesce(may, F.lit(True))).select("a", "b"), "near")
     held, third = _of_sets(near, own, texts, shingles(size))
     common = F.size(F.array_intersect("x", "y"))
 
     def compared(some: DataFrame) -> tuple[DataFrame, str]:
-        return cut(_both(some, held, 8).where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"), "similar")
+        return cut(_both(some, held).where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"), "similar")
 
     begun, _ = compared(near.groupBy("a").agg(F.min("b").alias("b")))
     roots = components(begun)
@@ -213,13 +218,18 @@ def _shared(spread: DataFrame, least: float) -> DataFrame:
     """Rows (bucket, ...) of buckets with several sets, one of which can be the shorter of a pair.
 
     A set is in a bucket once, so a single number a bucket says both: how many sets,
-    and above them how many that can.
+    and above them how many that can. ``before`` are the last of a set's buckets
+    before the row's; ``rank`` is how many of its first shingles no other set shares,
+    then less how many are shared.
     """
     told = F.sum(F.when(_can_begin(least), (1 << 32) + 1).otherwise(1).cast("bigint")).alias("told")
     open_, path = cut(spread.groupBy("bucket").agg(told).where(f"told > {1 << 32} and told % {1 << 32} > 1").select("bucket"), "buckets")
     if open_.count() <= BUCKETS:
         open_ = F.broadcast(open_)
-    members = cut(spread.join(open_, "bucket", "left_semi").select("bucket", "set", "n", "at", F.col("set").alias("root")), "members")
+    its = Window.partitionBy("set")
+    before = F.collect_list("bucket").over(its.orderBy("at").rowsBetween(-BEFORE, -1))
+    rank = F.struct((F.max("at").over(its) + 1 - F.count("*").over(its)).alias("alone"), (-F.count("*").over(its)).alias("shared"))
+    members = cut(spread.join(open_, "bucket", "left_semi").select("bucket", "set", "n", "at", F.col("set").alias("root"), before.alias("before"), rank.alias("rank")), "members")
     drop(spread.sparkSession, path)
     return members
 
@@ -231,7 +241,7 @@ def _open(members: DataFrame, least: float) -> DataFrame:
 
 def _rooted(members: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Members with their component's root, of buckets with several."""
-    named = members.drop("root").join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", "n", "at", F.coalesce("root", "set").alias("root"))
+    named = members.drop("root").join(roots.withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", "n", "at", F.coalesce("root", "set").alias("root"), "before", "rank")
     return named.join(_open(named, least), "bucket", "left_semi")
 
 
@@ -256,22 +266,23 @@ def links(own: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float =
         members, after = cut(_rooted(members, roots, least), "members")
         drop(spark, before)
         before = after
-    its = [F.col(c).alias(f"its_{c}") for c in ("set", "n", "at", "root")]
+    columns = ("set", "n", "at", "root")
+    its = [F.col(c).alias(f"its_{c}") for c in columns]
     while True:
-        sizes = members.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("k"), F.count_if(_can_begin(least)).cast("double").alias("i"))
-        sizes = sizes.groupBy("bucket").agg((F.sum("k") * F.sum("i") - F.sum(F.col("k") * F.col("i"))).alias("left"))
         last = not grown
-        if last or (sizes.agg(F.sum("left")).first()[0] or 0) <= LOOKED * n:
-            other = members.select("bucket", *its)
+        if last or turn and _left(members, least) <= LOOKED * n:
+            other = members.select("bucket", F.col("before").alias("its_before"), *its)
             longer = "its_root <> root and (its_n > n or its_n = n and its_set > set)"
-            pairs, path = _pairs(members.where(_can_begin(least)).join(other, "bucket").where(longer), least)
+            met = members.where(_can_begin(least)).join(other, "bucket").where(longer).where(_may_link(least)).where("not arrays_overlap(before, its_before)")
+            pairs, path = _named(met)
             last = last or pairs.count() <= PAIRS * n
             if not last:
                 drop(spark, path)
         if not last:
-            order: Column = F.struct(F.xxhash64("set", F.lit(turn)).alias("turn"), *[F.col(c) for c in ("set", "n", "at", "root")])
-            first = members.where(_can_begin(least)).groupBy("bucket").agg(F.min(order).alias("f")).select("bucket", *[F.col(f"f.{c}").alias(f"its_{c}") for c in ("set", "n", "at", "root")])
-            pairs, path = _pairs(members.join(first, "bucket").where("root <> its_root"), least)
+            order: Column = F.struct((F.struct(F.lit(0)) if turn else F.col("rank")).alias("rank"), F.xxhash64("set", F.lit(turn)).alias("turn"), *[F.col(c) for c in columns])
+            first = members.where(_can_begin(least)).groupBy("bucket").agg(F.min(order).alias("f")).select("bucket", F.col("f.rank").alias("its_rank"), "f.turn", *[F.col(f"f.{c}").alias(f"its_{c}") for c in columns])
+            met = members.join(first, "bucket").where("root <> its_root").where(_may_link(least))
+            pairs, path = _named(met.groupBy("set").agg(F.min(F.struct("its_rank", "turn", "its_set")).alias("f")).select("set", F.col("f.its_set").alias("its_set")))
         new = _similar(pairs, own, texts, size, least)
         drop(spark, path)
         found = new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
@@ -286,9 +297,16 @@ def links(own: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float =
             before = after
 
 
-def _pairs(rows: DataFrame, least: float) -> tuple[DataFrame, str]:
-    """Different pairs (a, b) of sets that may link by a shared bucket."""
-    return cut(rows.where(_may_link(least)).select(F.greatest("set", "its_set").alias("a"), F.least("set", "its_set").alias("b")).distinct(), "pairs")
+def _left(members: DataFrame, least: float) -> float:
+    """At most so many pairs between components share a bucket."""
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("k"), F.count_if(_can_begin(least)).cast("double").alias("i"))
+    sizes = sizes.groupBy("bucket").agg((F.sum("k") * F.sum("i") - F.sum(F.col("k") * F.col("i"))).alias("left"))
+    return sizes.agg(F.sum("left")).first()[0] or 0
+
+
+def _named(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Different pairs (a, b) of sets of rows with set and its_set, written."""
+    return cut(rows.select(F.greatest("set", "its_set").alias("a"), F.least("set", "its_set").alias("b")).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:

@@ -100,6 +100,38 @@ def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
     assert sum(seen) < 100
 
 
+def test_copies_of_one_text_take_a_comparison_each(spark, monkeypatch):
+    random = np.random.default_rng(11)
+    base = [f"w{i}" for i in random.integers(0, 10**6, 400)]
+    texts = [" ".join(base)]
+    for k in range(110):
+        words = list(base)
+        for at in random.choice(40, 6, replace=False) * 10:
+            words[at] = f"new{k}x{at}"
+        texts.append(" ".join(words))
+    sets = [plain_set(t) for t in texts]
+    alike = sum(len(a & b) / len(a | b) >= 0.8 for i, a in enumerate(sets) for b in sets[:i])
+    assert alike < 300  # each is like the first text, few are like each other
+    seen = []
+    compared = jaccard._similar
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, *rest: seen.append(pairs.count()) or compared(pairs, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len({r.root for r in jaccard.near_duplicates(df).collect()}) == 1
+    assert sum(seen) <= 2 * len(texts)
+
+
+def test_a_pair_is_named_by_its_first_bucket(spark):
+    words = [f"w{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:1700] + [f"x{i}" for i in range(300)]))], "doc_id bigint, text string")
+    frequent = jaccard.frequent_shingles(docs.select("text"))
+    own = docs.select(jaccard.sets(frequent)("text").alias("s")).select("s.*")
+    spread = own.selectExpr("set", "n", "posexplode(first) as (at, bucket)")
+    members = jaccard._shared(spread, 0.8)[0].cache()
+    a, b = (members.where(f"set = {r.set}").alias(k) for r, k in zip(own.collect(), "ab"))
+    both = a.join(b, "bucket")
+    assert both.count() > 100 and 1 <= both.where("not arrays_overlap(a.before, b.before)").count() < 10
+
+
 def test_the_gray_index_names_near_copies_first(spark):
     base = [f"w{i}" for i in range(3000)]
     other = [f"v{i}" for i in range(3000)]
