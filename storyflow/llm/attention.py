@@ -68,6 +68,10 @@ class Vocabulary:
         self.classes = int(cut.max()) + 1
 
 
+def _small(x: np.ndarray, bound: int) -> np.ndarray:
+    return x.astype(np.int32 if bound < 1 << 31 else np.int64)
+
+
 class Follows:
     """How often symbols follow each other, as smoothed logarithms.
 
@@ -76,15 +80,16 @@ class Follows:
     """
 
     def __init__(self, v: Vocabulary, pairs: np.ndarray, n: np.ndarray, cells: np.ndarray, times: np.ndarray):
-        self.v, self.pairs, self.n, self.cells, self.times = v, pairs, n.astype(np.float64), cells, times
         size, classes = len(v.mass), v.classes
+        # every worker holds these, so they take four bytes each where that is enough
+        self.v, self.pairs, self.cells = v, _small(pairs, size * size), _small(cells, size * classes * classes)
+        self.n, self.times = (_small(x, int(x.max(initial=0))) for x in (n, times))
         last, after = np.divmod(pairs, size)
         cell = last * classes + v.class_of[after]
         self.seen = np.bincount(cell, self.n, size * classes).reshape(size, classes)
         self.kinds = np.maximum(np.bincount(cell, minlength=size * classes).reshape(size, classes), 1)
         self.of_class = np.bincount(v.class_of, v.mass, classes)
         self.within = v.mass / self.of_class[v.class_of]
-        self._inside: np.ndarray | None = None
         self._class_log: np.ndarray | None = None
 
     def context(self, own: np.ndarray) -> np.ndarray:
@@ -102,7 +107,7 @@ class Follows:
             for lo in range(0, len(short), 64):
                 hi = min(len(short), lo + 64)
                 part = np.zeros(((hi - lo) * classes, classes))
-                a, b = np.searchsorted(self.cells, (lo * classes * classes, hi * classes * classes))
+                a, b = np.searchsorted(self.cells, np.array((lo * classes * classes, hi * classes * classes), self.cells.dtype))
                 part.ravel()[self.cells[a:b] - lo * classes * classes] = self.times[a:b]
                 kinds = np.maximum((part > 0).sum(1, keepdims=True), 1)
                 total = part.sum(1, keepdims=True) + kinds
@@ -112,24 +117,20 @@ class Follows:
             self._class_log = out
         return self._class_log
 
-    @property
-    def inside(self) -> np.ndarray:
-        """log p(next | its class, last) by pair; made where it is first used."""
-        if self._inside is None:
-            size = len(self.v.mass)
-            out, c = np.empty((size, size), np.float32), self.v.class_of
-            for lo in range(0, size, 256):
-                hi = min(size, lo + 256)
-                part = np.ascontiguousarray(self.kinds[lo:hi, c] * self.within)
-                a, b = np.searchsorted(self.pairs, (lo * size, hi * size))
-                part.ravel()[self.pairs[a:b] - lo * size] += self.n[a:b]
-                part /= (self.seen + self.kinds)[lo:hi, c]
-                out[lo:hi] = np.log(part)
-            self._inside = out.ravel()
-        return self._inside
+    def inside(self, last: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """log p(next | its class, last) of pairs, found among those that occur: no table of all pairs is held."""
+        keys = (last.astype(np.int64) * len(self.v.mass) + after).astype(self.pairs.dtype)
+        n, order = np.zeros(len(keys)), np.argsort(keys)
+        if len(self.pairs):
+            keys = keys[order]
+            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            n[order] = np.where(self.pairs[at] == keys, self.n[at], 0)
+        group = self.v.class_of[after]
+        kinds = self.kinds[last, group]
+        return np.log((n + kinds * self.within[after]) / (self.seen[last, group] + kinds))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_inside": None, "_class_log": None}
+        return self.__dict__ | {"_class_log": None}
 
 
 def laid_out(texts: Iterator[np.ndarray], end: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -210,7 +211,7 @@ class Model:
     def score(self, inputs: np.ndarray, targets: np.ndarray, tables: tuple) -> np.ndarray:
         """Natural log-probability of each block's targets together; 0 for a block without."""
         q, k, v, bias, large = tables
-        out, inside, size = np.zeros(len(inputs)), self.follows.inside, len(self.v.mass)
+        out = np.zeros(len(inputs))
         class_log = self.follows.class_log
         ones = np.ones(2 * BLOCK + self.v.classes, np.float32)
         for lo in range(0, len(inputs) - 1, CACHED):
@@ -227,7 +228,7 @@ class Model:
             logit += class_log.take(self.follows.context(own[BLOCK - 1 :]), 0)
             there = np.flatnonzero(goal >= 0)
             seen = goal[there]
-            got = logit[there, self.v.class_of[seen]].astype(np.float64) + inside.take(last[there].astype(np.int64) * size + seen)
+            got = logit[there, self.v.class_of[seen]].astype(np.float64) + self.follows.inside(last[there], seen)
             np.exp(logit, out=logit)
             got -= np.log(logit @ ones[2 * BLOCK :])[there]
             out[lo + 1 : lo + 1 + len(goal) // BLOCK] = np.bincount(there // BLOCK, got, len(goal) // BLOCK)

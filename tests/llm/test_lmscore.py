@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -145,6 +146,18 @@ def test_large_scores_do_not_overflow():
     assert np.isfinite(score_of(model, [np.arange(40) % 30])).all()
 
 
+def test_scoring_holds_no_table_of_all_pairs():
+    model = model_of(4000)
+    texts = [np.random.default_rng(k).integers(0, 3990, 300).astype(np.uint16) for k in range(20)]
+    tables, _ = model.tables(), model.follows.class_log
+    tracemalloc.start()
+    for x, y, _ in attention.laid_out(iter(texts), model.v.end, 99):
+        model.score(x, y, tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # a float for each of 4,000 x 4,000 pairs is 64 MB
+
+
 def test_gradient_matches_differences():
     model = model_of(12)
     model.p = {k: x.astype(np.float64) for k, x in model.p.items()}
