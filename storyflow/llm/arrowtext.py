@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -54,6 +55,39 @@ def grouped(given: list[tuple[int, bytes]], limit: int = CHUNK_BYTES) -> Iterato
         yield held
 
 
+def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space, A-Z in lower case, and the place of each one's text; null has none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, counts = split.flatten(), pc.fill_null(split.value_lengths(), 0).to_numpy()
+    owner = np.repeat(np.arange(len(texts)), counts)
+    there = pc.greater(pc.binary_length(words), 0)
+    return words.filter(there), owner[there.to_numpy(zero_copy_only=False)]
+
+
+def short_parts(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Arrays of about a megabyte of text or of pieces of one text, and the place of each one's text."""
+    start = 0
+    for part in slices(texts):
+        if len(part) == 1 and part[0].is_valid and len(text := part.cast(pa.binary())[0].as_py()) > CHUNK_BYTES:
+            for piece in pieces(text):
+                yield pa.array([piece], pa.binary()).view(pa.string()), np.array([start])
+        else:
+            yield part, np.arange(start, start + len(part))
+        start += len(part)
+
+
+def array_column(fn: Callable[[pa.Array], pa.Array], schema: str) -> Callable[[Column], Column]:
+    """A column function: ``fn`` maps an Arrow array of about a megabyte of text, or of one text, to an Arrow array."""
+
+    def mapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [fn(part) for part in slices(batch)]
+            yield pa.concat_arrays(parts) if parts else fn(batch)
+
+    mapped.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(mapped, schema)
+
+
 def text_column(fn: Callable[[list[bytes | None]], pa.Array], schema: str) -> Callable[[Column], Column]:
     """A column function: ``fn`` maps UTF-8 texts (or None) to an Arrow array.
 

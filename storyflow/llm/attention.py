@@ -91,6 +91,7 @@ class Follows:
         self.of_class = np.bincount(v.class_of, v.mass, classes)
         self.within = v.mass / self.of_class[v.class_of]
         self._class_log: np.ndarray | None = None
+        self._index: tuple[np.ndarray, np.ndarray] | None = None
 
     def context(self, own: np.ndarray) -> np.ndarray:
         """Of each symbol from the second on: itself and the class of the one before, as a number."""
@@ -117,20 +118,34 @@ class Follows:
             self._class_log = out
         return self._class_log
 
-    def inside(self, last: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """log p(next | its class, last) of pairs, found among those that occur: no table of all pairs is held."""
-        keys = (last.astype(np.int64) * len(self.v.mass) + after).astype(self.pairs.dtype)
-        n, order = np.zeros(len(keys)), np.argsort(keys)
-        if len(self.pairs):
-            keys = keys[order]
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            n[order] = np.where(self.pairs[at] == keys, self.n[at], 0)
-        group = self.v.class_of[after]
-        kinds = self.kinds[last, group]
-        return np.log((n + kinds * self.within[after]) / (self.seen[last, group] + kinds))
+    @property
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """A bit for each pair that may occur, and how many occur before each 64 of them and in all; made where it is first used."""
+        if self._index is None:
+            words = np.zeros(len(self.v.mass) ** 2 // 64 + 1, np.uint64)
+            for lo in range(0, len(self.pairs), 1 << 16):
+                part = self.pairs[lo : lo + (1 << 16)]
+                word, first = np.unique(part >> 6, return_index=True)
+                words[word] |= np.bitwise_or.reduceat(np.uint64(1) << (part & 63).astype(np.uint64), first)
+            self._index = words, np.cumsum(np.append(0, np.bitwise_count(words)), dtype=np.int32)
+        return self._index
+
+    def share(self, last: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """p(next | its class, last) of pairs, found among those that occur: no table of all pairs is held."""
+        words, before = self.index
+        keys = last.astype(np.uint32) * np.uint32(len(self.v.mass)) + after.astype(np.uint32)
+        word, bit = keys >> np.uint32(6), (keys & np.uint32(63)).astype(np.uint64)
+        own = words.take(word) >> bit
+        there = own & np.uint64(1)
+        # pairs from this one on in its 64, so the place of the pair itself if it occurs
+        place = before.take(word + np.uint32(1)) - np.bitwise_count(own)
+        n = self.n.take(place, mode="clip") * there.astype(self.n.dtype) if len(self.n) else np.zeros(len(keys))
+        cell = last.astype(np.int64) * self.v.classes + self.v.class_of.take(after)
+        kinds = self.kinds.ravel().take(cell)
+        return (n + kinds * self.within.take(after)) / (self.seen.ravel().take(cell) + kinds)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_class_log": None}
+        return self.__dict__ | {"_class_log": None, "_index": None}
 
 
 def laid_out(texts: Iterator[np.ndarray], end: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -198,11 +213,15 @@ class Model:
     def bias(self) -> np.ndarray:
         return np.where(_AGO < 0, _FUTURE, self.p["ago"][np.maximum(_AGO, 0)])
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries with keys, scaled, and values with ``out`` as one matrix each: rows of ``embed`` are keys and values then."""
+        return self.p["q"] @ self.p["k"].T * np.float32(WIDTH**-0.5), self.p["v"] @ self.p["out"]
+
     def tables(self) -> tuple:
-        """By symbol: scaled queries, keys, values; the bias by distance; whether exp needs a shift."""
-        q, k, v = (self.p["embed"] @ self.p[x] for x in "qkv")
-        q *= np.float32(WIDTH**-0.5)
-        return q, k, v, self.bias(), self.large(q, k)
+        """By symbol: what asks, what is asked; what gives classes; the bias by distance; whether exp needs a shift."""
+        turn, out = self.joined()
+        q, x = self.p["embed"] @ turn, self.p["embed"]
+        return q, x, out, self.bias(), self.large(q, x)
 
     def large(self, q: np.ndarray, k: np.ndarray) -> bool:
         """Whether attention scores may be too large for exp."""
@@ -210,104 +229,110 @@ class Model:
 
     def score(self, inputs: np.ndarray, targets: np.ndarray, tables: tuple) -> np.ndarray:
         """Natural log-probability of each block's targets together; 0 for a block without."""
-        q, k, v, bias, large = tables
+        q, x, gives, bias, large = tables
         out = np.zeros(len(inputs))
-        class_log = self.follows.class_log
-        ones = np.ones(2 * BLOCK + self.v.classes, np.float32)
+        class_log, classes = self.follows.class_log, self.v.classes
+        ones = np.ones(2 * BLOCK + classes, np.float32)
         for lo in range(0, len(inputs) - 1, CACHED):
             own, goal = inputs[lo : lo + CACHED + 1].ravel(), targets[lo + 1 : lo + CACHED + 1].ravel()
             last = own[BLOCK:]
-            a = np.matmul(q.take(last, 0).reshape(-1, BLOCK, WIDTH), _windows(k.take(own, 0)).transpose(0, 2, 1))
+            near = _windows(x.take(own, 0))
+            a = np.matmul(q.take(last, 0).reshape(-1, BLOCK, WIDTH), near.transpose(0, 2, 1))
             a += bias
             if large:
                 a -= a.max(-1, keepdims=True)
             np.exp(a, out=a)
-            h = np.matmul(a, _windows(v.take(own, 0))).reshape(-1, WIDTH)
+            h = np.matmul(a, near).reshape(-1, WIDTH)
             h /= (a.reshape(-1, 2 * BLOCK) @ ones[: 2 * BLOCK])[:, None]
-            logit = h @ self.p["out"]
+            logit = h @ gives
             logit += class_log.take(self.follows.context(own[BLOCK - 1 :]), 0)
             there = np.flatnonzero(goal >= 0)
             seen = goal[there]
-            got = logit[there, self.v.class_of[seen]].astype(np.float64) + self.follows.inside(last[there], seen)
+            got = logit.ravel().take(there * classes + self.v.class_of.take(seen)).astype(np.float64)
             np.exp(logit, out=logit)
-            got -= np.log(logit @ ones[2 * BLOCK :])[there]
+            got += np.log(self.follows.share(last[there], seen) / (logit @ ones[2 * BLOCK :])[there])
             out[lo + 1 : lo + 1 + len(goal) // BLOCK] = np.bincount(there // BLOCK, got, len(goal) // BLOCK)
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the classes per weighted target, and its gradient. ``weight`` is by block."""
-        d = {name: np.zeros_like(x) for name, x in self.p.items()}
+        p = self.p
+        d = {name: np.zeros_like(x) for name, x in p.items()}
         n = ((targets[1:] >= 0).sum(1) * weight[1:]).sum()
         if not n:
             return 0.0, d
-        dx, loss = np.zeros((inputs.size, WIDTH), self.p["embed"].dtype), 0.0
+        dx, loss = np.zeros((inputs.size, WIDTH), p["embed"].dtype), 0.0
+        turn, out = self.joined()
+        given = turn, out, self.bias(), self.large(p["embed"] @ turn, p["embed"])
+        d_turn, d_out, d_bias = (np.zeros_like(x) for x in given[:3])
         for lo in range(0, len(inputs) - 1, LEARNED):
             part = slice(lo, lo + LEARNED + 1)
-            loss += self._add_gradient(inputs[part], targets[part], weight[part] / n, d, dx[lo * BLOCK : (lo + LEARNED + 1) * BLOCK])
+            loss += self._add_gradient(inputs[part], targets[part], weight[part] / n, given, (d_turn, d_out, d_bias, dx[lo * BLOCK : (lo + LEARNED + 1) * BLOCK]))
+        scale = np.float32(WIDTH**-0.5)
+        d["q"], d["k"] = d_turn @ p["k"] * scale, d_turn.T @ p["q"] * scale
+        d["v"], d["out"] = d_out @ p["out"].T, p["v"].T @ d_out
+        d["ago"] = np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO < 0, 0, d_bias).ravel(), 2 * BLOCK).astype(p["ago"].dtype)
         own = inputs.ravel()
         for at, column in enumerate(np.ascontiguousarray(dx.T)):
             d["embed"][:, at] = np.bincount(own, column, len(d["embed"]))
         return loss, d
 
-    def _add_gradient(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, d: dict[str, np.ndarray], dx: np.ndarray) -> float:
-        """Loss of some windows; adds to the gradient ``d``, and to ``dx`` by position."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        own = inputs.ravel()
-        x = p["embed"].take(own, 0)
-        kv = np.concatenate([p["k"], p["v"]], axis=1)
-        q, both = x[BLOCK:] @ p["q"], x @ kv
-        k, v = both[:, :WIDTH], both[:, WIDTH:]
-        q *= scale
-        q = q.reshape(-1, BLOCK, WIDTH)
-        a = np.matmul(q, _windows(k).transpose(0, 2, 1))
-        a += self.bias()
-        if self.large(q.reshape(-1, WIDTH), k):
+    def _add_gradient(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, given: tuple, d: tuple) -> float:
+        """Loss of some windows; adds to the gradients ``d``: of both matrices of :meth:`joined`, of the bias, and by position."""
+        (turn, out, bias, large), (d_turn, d_out, d_bias, dx) = given, d
+        own, kind = inputs.ravel(), turn.dtype
+        x = self.p["embed"].take(own, 0)
+        near, asks = _windows(x), x[BLOCK:]
+        n, rows = len(near), len(asks)
+        # attention beside its gradient, and what asks beside the gradient of what it gets, so that each pair is one matrix below
+        both, sides = np.empty((n, 2, BLOCK, 2 * BLOCK), kind), np.empty((n, 2, BLOCK, WIDTH), kind)
+        a, da, q, g = both[:, 0], both[:, 1], sides[:, 1], sides[:, 0]
+        q[...] = (asks @ turn).reshape(q.shape)
+        np.matmul(q, near.transpose(0, 2, 1), out=a)
+        a += bias
+        if large:
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a *= (1 / (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, a.dtype))).reshape(-1, BLOCK, 1)
-        h = np.matmul(a, _windows(v))
-        flat = h.reshape(-1, WIDTH)
-        logit = flat @ p["out"]
+        h = np.matmul(a, near).reshape(-1, WIDTH)
+        part = 1 / np.matmul(a, np.ones(2 * BLOCK, kind)).reshape(rows, 1)
+        h *= part
+        logit = h @ out
         logit += self.follows.class_log.take(self.follows.context(own[BLOCK - 1 :]), 0)
         np.exp(logit, out=logit)
-        total = logit @ np.ones(logit.shape[1], logit.dtype)
+        total = logit @ np.ones(logit.shape[1], kind)
         goal = targets[1:].ravel()
-        there = np.flatnonzero(goal >= 0)
-        group = self.v.class_of[goal[there]]
-        counted = np.zeros(len(goal), p["out"].dtype)
-        counted[there] = np.repeat(weight[1:], BLOCK)[there]
-        loss = -(counted[there] * (np.log(logit[there, group]) - np.log(total[there]))).sum()
-        logit *= (counted / total)[:, None]
-        logit[there, group] -= counted[there]
-        d["out"] += flat.T @ logit
-        dh = (logit @ p["out"].T).reshape(h.shape)
-        da = np.matmul(dh, _windows(v).transpose(0, 2, 1))
-        da -= np.einsum("rij,rij->ri", dh, h)[..., None]
+        counted = np.where(goal >= 0, np.repeat(weight[1:], BLOCK), 0).astype(kind)
+        at = np.arange(0, logit.size, logit.shape[1]) + self.v.class_of.take(goal, mode="clip")
+        flat = logit.ravel()
+        chance = flat.take(at)
+        loss = -(counted * np.log(np.maximum(chance, np.finfo(kind).tiny) / total)).sum()
+        flat[at] = chance - total
+        counted = (counted / total)[:, None]
+        dh = logit @ out.T
+        dh *= counted
+        counted = counted * h
+        d_out += counted.T @ logit
+        dh *= part
+        g[...] = dh.reshape(g.shape)
+        np.matmul(g, near.transpose(0, 2, 1), out=da)
         da *= a
-        both = _folded(np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh))
-        dq = np.matmul(da, _windows(k)).reshape(-1, WIDTH)
-        dq *= scale
-        d["ago"] += np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO < 0, 0, da.sum(0)).ravel(), 2 * BLOCK).astype(p["ago"].dtype)
-        d["q"] += x[BLOCK:].T @ dq
-        by_row = x.T @ both
-        d["k"] += by_row[:, :WIDTH]
-        d["v"] += by_row[:, WIDTH:]
-        dx += both @ kv.T
-        dx[BLOCK:] += dq @ p["q"].T
+        # a row's mean gradient is not taken from each score in it, but from what the scores are multiplied with
+        mean = np.einsum("ij,ij->i", dh, h)
+        g -= mean.reshape(n, BLOCK, 1) * q
+        asked = np.matmul(both.reshape(n, 2 * BLOCK, 2 * BLOCK).transpose(0, 2, 1), sides.reshape(n, 2 * BLOCK, WIDTH))
+        dq = np.matmul(da, near).reshape(-1, WIDTH)
+        dq -= (mean[:, None] / part) * h
+        by_distance = np.ones(n, kind) @ both.reshape(n, -1)[:, 2 * BLOCK * BLOCK :]
+        by_distance -= np.einsum("ni,nij->ij", mean.reshape(n, BLOCK), a).ravel()
+        d_bias += by_distance.reshape(_AGO.shape)
+        d_turn += asks.T @ dq
+        by_block = dx.reshape(-1, BLOCK, WIDTH)
+        by_block[:-1] += asked[:, :BLOCK]
+        by_block[1:] += asked[:, BLOCK:]
+        dx[BLOCK:] += dq @ turn.T
         return float(loss)
 
 
-def _folded(*by_window: np.ndarray) -> np.ndarray:
-    """Sums by row of blocks of what overlapping windows hold, side by side."""
-    n, _, width = by_window[0].shape
-    out = np.zeros((n + 1, BLOCK, width * len(by_window)), by_window[0].dtype)
-    for at, x in enumerate(by_window):
-        part = out[..., at * width : (at + 1) * width]
-        part[:-1] = x[:, :BLOCK]
-        part[1:] += x[:, BLOCK:]
-    return out.reshape((n + 1) * BLOCK, -1)
-
-
 class Adam:
     """Adam over the model's parameters, at a rate that falls with the steps done."""
 

@@ -28,9 +28,8 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby, repeat
 
 import numpy as np
 import public_tokenizers
@@ -41,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyflow.llm import attention
-from storyflow.llm.arrowtext import grouped, pieces, slices, text_column
+from storyflow.llm.arrowtext import array_column, ascii_words, pieces, short_parts, text_column
 from storyflow.shared import cut, drop, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -108,23 +107,31 @@ class Subwords:
         return flat, np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
 
 
+def _summed(held: list[tuple[pa.Array, pa.Array]]) -> pa.Table:
+    words, n = (pa.chunked_array([h[i] for h in held], kind) for i, kind in ((0, pa.binary()), (1, pa.int64())))
+    return pa.table({"word": words, "n": n}).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    held: list[tuple[pa.Array, pa.Array]] = []
 
-    def given() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+    def given() -> Iterator[pa.RecordBatch]:
+        for found in _summed(held).rename_columns(["word", "n"]).select(["word", "n"]).to_batches():
+            yield found
 
+    k = 0
     for batch in batches:
-        for part in slices(batch.column(0)):
-            given_texts = [(0, p) for text in part.cast(pa.binary()).to_pylist() for p in pieces(text)]
-            for group in grouped(given_texts):
-                seen = pa.array(list(chain.from_iterable(words_of(p) for _, p in group)), pa.binary()).value_counts()
-                for word, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
-                    held[word] += n
-                if len(held) > HELD_WORDS:
-                    yield given()
-                    held.clear()
-    yield given()
+        for part, _ in short_parts(batch.column(0)):
+            seen = ascii_words(part)[0].value_counts()
+            held.append((seen.field("values").cast(pa.binary()), seen.field("counts")))
+            k += len(seen)
+            if k > 2 * HELD_WORDS:
+                found = _summed(held)
+                held, k = [(c.chunk(0), n.chunk(0)) for c, n in [(found["word"], found["n_sum"])]], len(found)
+                if k > HELD_WORDS:
+                    yield from given()
+                    held, k = [], 0
+    yield from given()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -162,25 +169,28 @@ def subword_counts(counts: DataFrame, subwords: Subwords) -> tuple[np.ndarray, n
 
 def follows(texts: DataFrame, v: attention.Vocabulary) -> attention.Follows:
     """What follows what in a table with symbols and times, counted; a negative key is a cell's."""
-    size, end, classes, class_of = len(v.mass), np.array([v.end]), v.classes, v.class_of
+    # keys are sorted, which is cheaper in four bytes
+    kind = np.int32 if max(len(v.mass), v.classes**2) * len(v.mass) < 1 << 31 else np.int64
+    size, end, classes, class_of = len(v.mass), np.array([v.end], kind), v.classes, v.class_of.astype(kind)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        total = (np.zeros(0, kind), np.zeros(0, np.int64))
         once, often, k = [], [total], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.sort(np.concatenate(once)) if once else total[0][:0]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+            keys = np.concatenate(once) if once else total[0][:0]
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys.astype(np.int64)
             parts = [(keys[first], np.diff(np.append(first, len(keys)))), *often, total]
             keys, n = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
             order = np.argsort(keys, kind="stable")
             keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys.astype(np.int64)
             return keys[first], np.add.reduceat(n, first) if len(first) else n
 
         for batch in batches:
             for raw, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.concatenate([end, end, np.frombuffer(raw, np.uint16), end])
+                own = np.concatenate([end, end, np.frombuffer(raw, np.uint16).astype(kind), end])
                 group = class_of[own]
                 for keys in (own[1:-1] * size + own[2:], -1 - ((own[1:-1] * classes + group[:-2]) * classes + group[2:])):
                     if times == 1:
@@ -193,7 +203,7 @@ def follows(texts: DataFrame, v: attention.Vocabulary) -> attention.Follows:
                     once, often, k = [], [], 0
         total = summed()
         if len(total[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(total[0], pa.int64()), pa.array(total[1])], names=["pair", "n"])
 
     seen = texts.select("symbols", "times").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
     keys, n = (seen.column(c).to_numpy() for c in ("pair", "n"))
@@ -236,17 +246,16 @@ class Frequent:
         self.sizes, self.flat, self.share = spelled(*subwords.each(self.words), vocabulary)
         self.places: dict[bytes, int] | None = None
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    def of(self, words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
         """Indexes of words, and the words met besides, in the order of theirs."""
         if self.places is None:
             self.places = dict(zip(self.words, range(len(self.words))))
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        kinds, met = coded.dictionary.to_pylist(), []
-        place = np.fromiter((self.places.get(w, -1) for w in kinds), np.int64, len(kinds))
-        for at in np.flatnonzero(place < 0):
-            place[at] = len(self.words) + len(met)
-            met.append(kinds[at])
-        return place[coded.indices.to_numpy()], met
+        coded = words.dictionary_encode()
+        kinds = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        place = np.fromiter(map(self.places.get, kinds, repeat(-1)), np.int64, len(kinds))
+        more = np.flatnonzero(place < 0)
+        place[more] = len(self.words) + np.arange(len(more))
+        return place[coded.indices.to_numpy()], kinds[more].tolist()
 
 
 def spelled(flat: np.ndarray, sizes: np.ndarray, vocabulary: attention.Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,40 +269,39 @@ def _spelled(spark: SparkSession, v: attention.Vocabulary, subwords: Subwords, k
     shared = spark.sparkContext.broadcast((v, Frequent(known, np.log10(n + 0.5 * (kinds + 1)), subwords, v)))
     names = ["words", "known", "base", "share", "symbols", "rest"]
 
-    def spell(texts: list[bytes | None]) -> pa.Array:
+    def spell(texts: pa.Array) -> pa.Array:
         v, often = shared.value
-        totals, symbols = np.zeros((4, len(texts))), [[] for _ in texts]
-        rest: list[Counter[bytes]] = [Counter() for _ in texts]
-        given = [(i, piece) for i, t in enumerate(texts) for piece in pieces(t)]
-        for part in grouped(given):
-            lists = [words_of(t) for _, t in part]
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            owner = np.repeat(np.array([i for i, _ in part], np.int64), counts)
-            place, met = often.of(list(chain.from_iterable(lists)))
-            rare = place >= len(often.words)
+        totals, symbols, long, frequent_words = np.zeros((4, len(texts))), [], np.zeros(len(texts), np.int64), len(often.words)
+        rest, words, times = np.zeros(len(texts), np.int64), [pa.array([], pa.binary())], [np.zeros(0, np.int32)]
+        for part, texts_of in short_parts(texts):
+            found, owner = ascii_words(part)
+            owner = texts_of[owner]
+            place, met = often.of(found)
+            rare = place >= frequent_words
             # base: frequent words here, the rest is joined with the table of words
             totals[0] += np.bincount(owner, minlength=len(texts))
             totals[1] += np.bincount(owner[~rare], minlength=len(texts))
             totals[2] += np.bincount(owner, np.append(often.log, np.zeros(len(met)))[place], len(texts))
-            for i, at in zip(owner[rare].tolist(), (place[rare] - len(often.words)).tolist()):
-                rest[i][met[at]] += 1
+            kinds, n = np.unique(owner[rare] * len(met) + place[rare] - frequent_words, return_counts=True)
+            if len(kinds):
+                rest += np.bincount(kinds // len(met), minlength=len(texts))
+                words.append(pa.array(met, pa.binary()).take(pa.array(kinds % len(met))))
+                times.append(n.astype(np.int32))
             # every word's symbols one after another
             more = spelled(*subwords.each(met), v)
             sizes, flat, share = (np.concatenate([a, b]) for a, b in zip((often.sizes, often.flat, often.share), more))
             first, own = np.cumsum(sizes) - sizes, sizes[place]
             stop = np.cumsum(own)
-            found = flat[np.arange(own.sum()) + np.repeat(first[place] - stop + own, own)]
+            symbols.append(flat[np.arange(own.sum()) + np.repeat(first[place] - stop + own, own)])
+            long += np.bincount(owner, own, len(texts)).astype(np.int64)
             totals[3] += np.bincount(owner, share[place], len(texts))
-            for (i, _), one in zip(part, np.split(found, np.append(0, stop)[np.cumsum(counts)[:-1]])):
-                symbols[i].append(one.tobytes())
-        ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-        words = pa.array(list(chain.from_iterable(rest)), pa.binary())
-        times = pa.array(list(chain.from_iterable(r.values() for r in rest)), pa.int32())
-        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "times"]))
-        bits = pa.array([b"".join(x) for x in symbols], pa.binary())
+        ends, bits = (pa.array(np.append(0, np.cumsum(x)), pa.int32()) for x in (rest, long * 2))
+        rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.concat_arrays(words), pa.array(np.concatenate(times))], names=["word", "times"]))
+        flat = np.concatenate([np.zeros(0, np.uint16), *symbols])
+        bits = pa.Array.from_buffers(pa.binary(), len(texts), [None, bits.buffers()[1], pa.py_buffer(flat)])
         return pa.StructArray.from_arrays([pa.array(totals[0].astype(np.int64)), pa.array(totals[1].astype(np.int64)), pa.array(totals[2]), pa.array(totals[3]), bits, rest], names=names)
 
-    return text_column(spell, "struct<words:bigint,known:bigint,base:double,share:double,symbols:binary,rest:array<struct<word:binary,times:int>>>")
+    return array_column(spell, "struct<words:bigint,known:bigint,base:double,share:double,symbols:binary,rest:array<struct<word:binary,times:int>>>")
 
 
 def _scored(spark: SparkSession, counted: Broadcast, parameters: np.ndarray) -> "callable":

@@ -4,8 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from storyflow.llm import attention, lmscore
+from storyflow.llm import arrowtext, attention, lmscore
 from storyflow.shared import table
 
 from . import cases
@@ -217,3 +218,41 @@ def test_pieces_keep_words_whole():
 def test_the_4096_most_frequent_ids_are_symbols():
     v = attention.Vocabulary(np.arange(6000), np.arange(6000, 0, -1), 10, 6000)
     assert v.other == 4096 and sorted(v.symbol[:4096]) == list(range(4096)) and (v.symbol[4096:] == v.other).all()
+
+
+def test_words_are_counted_and_spelled_by_arrow(spark, monkeypatch):
+    texts = [None, b"", b" ", b" a  B\x1c\x1d\x1fc \xc2\x85x \xc2\xa0y\t\n\x0b\x0c\rZ a", "ÉA İb".encode(), b"\xff\xfe A", b"x" * 90]
+    array = pa.array(texts, pa.binary()).view(pa.string())
+    for given, own in ((array, texts), (array.slice(3, 2), texts[3:5])):
+        words, owner = arrowtext.ascii_words(given)
+        assert list(zip(owner.tolist(), words.cast(pa.binary()).to_pylist())) == [(i, w) for i, t in enumerate(own) for w in lmscore.words_of(t)]
+    monkeypatch.setattr(arrowtext, "CHUNK_BYTES", 8)
+    monkeypatch.setattr(arrowtext.slices, "__defaults__", (8,))
+    monkeypatch.setattr(arrowtext.pieces, "__defaults__", (8,))
+    monkeypatch.setattr(lmscore, "HELD_WORDS", 2)
+    expected = Counter(w for t in texts for w in lmscore.words_of(t))
+    monkeypatch.setattr(lmscore, "words_of", None)
+    found = Counter()
+    for batch in lmscore._count(iter([pa.RecordBatch.from_arrays([array], names=["text"])] * 2)):
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found[word] += n
+    assert found == {w: 2 * n for w, n in expected.items()}
+
+
+def test_shares_of_pairs_are_those_counted():
+    f = model_of(300).follows
+    last, after = np.divmod(np.arange(len(f.v.mass) ** 2), len(f.v.mass))
+    counts = dict(zip(f.pairs.tolist(), f.n.tolist()))
+    group = f.v.class_of[after]
+    n = np.array([counts.get(k, 0) for k in range(len(last))])
+    kinds = f.kinds[last, group]
+    assert np.allclose(f.share(last.astype(np.int32), after.astype(np.int32)), (n + kinds * f.within[after]) / (f.seen[last, group] + kinds))
+    assert f.share(last[:0], after[:0]).size == 0
+
+
+def test_a_step_multiplies_each_window_five_times(monkeypatch):
+    model, calls, matmul = model_of(), [], np.matmul
+    x, y, _ = next(attention.laid_out(iter([np.arange(400) % 40]), model.v.end, 99))
+    monkeypatch.setattr(np, "matmul", lambda a, b, **more: (calls.append(b.ndim), matmul(a, b, **more))[1])
+    model.gradient(x, y, np.ones(len(x), np.float32))
+    assert calls.count(3) == 5  # six before keys and values were rows of embed, and projections besides
