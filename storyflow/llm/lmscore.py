@@ -51,6 +51,8 @@ SHARD, SHARDS = 2_000_000, 16
 SCORE_BLOCKS = 4096
 #: Pairs of symbols that a counting task holds before it sums them.
 PAIRS = 1 << 20
+#: Keys of pairs that are shuffled as one row.
+SPAN = 4096
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 400_000
 
@@ -201,11 +203,28 @@ def follows(texts: DataFrame, v: attention.Vocabulary) -> attention.Follows:
                 if k >= PAIRS:
                     total = summed()
                     once, often, k = [], [], 0
-        total = summed()
-        if len(total[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(total[0], pa.int64()), pa.array(total[1])], names=["pair", "n"])
-
-    seen = texts.select("symbols", "times").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
+        keys, n = summed()
+        if len(keys):
+            # a row holds all counts of a span of keys, as rows cost more than what is in them
+            spans = keys // SPAN
+            first = np.flatnonzero(np.append(True, spans[1:] != spans[:-1]))
+            columns = [pa.array(spans[first], pa.int32())]
+            for values in ((keys - spans * SPAN).astype(np.uint16), n.astype(np.int64)):
+                ends = pa.array(np.append(first, len(keys)) * values.itemsize, pa.int32())
+                columns.append(pa.Array.from_buffers(pa.binary(), len(first), [None, ends.buffers()[1], pa.py_buffer(values)]))
+            yield pa.RecordBatch.from_arrays(columns, names=["span", "low", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("span", "low", "n"))))
+        for span, own in groupby(rows, lambda r: r[0]):
+            total = np.zeros(SPAN, np.int64)
+            for _, low, n in own:
+                total[np.frombuffer(low, np.uint16)] += np.frombuffer(n, np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at + span * SPAN), pa.array(total[at])], names=["pair", "n"])
+
+    spans = texts.select("symbols", "times").mapInArrow(count, "span int, low binary, n binary")
+    seen = spans.repartition("span").sortWithinPartitions("span").mapInArrow(add, "pair bigint, n bigint").toArrow().sort_by("pair")
     keys, n = (seen.column(c).to_numpy() for c in ("pair", "n"))
     at = np.searchsorted(keys, 0)
     return attention.Follows(v, keys[at:], n[at:], -1 - keys[:at][::-1], n[:at][::-1])

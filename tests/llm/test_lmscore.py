@@ -256,3 +256,25 @@ def test_a_step_multiplies_each_window_five_times(monkeypatch):
     monkeypatch.setattr(np, "matmul", lambda a, b, **more: (calls.append(b.ndim), matmul(a, b, **more))[1])
     model.gradient(x, y, np.ones(len(x), np.float32))
     assert calls.count(3) == 5  # six before keys and values were rows of embed, and projections besides
+
+
+def test_pairs_are_shuffled_by_spans(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    v = attention.Vocabulary(np.arange(200), np.arange(200, 0, -1) ** 2, 10, 220, 190)
+    texts = [(random.integers(0, v.end, k).astype(np.uint16), 1 + k % 3) for k in (0, 1, 5, 40, 300, 300)]
+    pairs, cells = Counter(), Counter()
+    for text, times in texts:
+        own = [v.end, v.end, *map(int, text), v.end]
+        for a, b, c in zip(own, own[1:], own[2:]):
+            pairs[b * len(v.mass) + c] += times
+            cells[(b * v.classes + int(v.class_of[a])) * v.classes + int(v.class_of[c])] += times
+    shuffled = []
+    monkeypatch.setattr(lmscore, "PAIRS", 64)
+    monkeypatch.setattr(lmscore, "SPAN", 100)
+    df = spark.createDataFrame([(bytearray(t.tobytes()), n) for t, n in texts], "symbols binary, times bigint").repartition(3)
+    mapped = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: (shuffled.append(schema), mapped(self, fn, schema))[1])
+    f = lmscore.follows(df, v)
+    assert shuffled[0].startswith("span int")
+    assert dict(zip(f.pairs.tolist(), f.n.tolist())) == pairs and dict(zip(f.cells.tolist(), f.times.tolist())) == cells
+    assert (np.diff(f.pairs) > 0).all() and (np.diff(f.cells) > 0).all()
